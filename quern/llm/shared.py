@@ -26,14 +26,15 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Writes df as Parquet into the scratch folder and reads it back: lineage ends there, and every executor can read it."""
+def store(df: DataFrame) -> tuple[DataFrame, str]:
+    """Writes df as Parquet into a new scratch folder and reads it back: lineage ends there, and every executor can read it."""
     path = scratch(df.sparkSession)
-    out = df.write.option("compression", "zstd")
-    if partition_by:
-        out = out.partitionBy(*partition_by)
-    out.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    return store(df)[0]
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -60,8 +61,9 @@ def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of df's size in bytes (for a scan: the size of its files)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of df's size in bytes (for a scan: the size of its files); 0 where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 52 else 0
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
