@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import quality, sharding, suffix
+from quern.llm import quality, sharding, simhash, suffix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
+        "op8_simhash_dedup": simhash.op8_simhash_dedup,
         "op10_suffix_dedup": suffix.op10_suffix_dedup,
         "op7_ring_sharding": sharding.op7_ring_sharding,
     }
