@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import quality, sharding, simhash, suffix
+from quern.llm import decontaminate, quality, sharding, simhash, suffix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,9 +14,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": quality.op1_quality_rules,
         "op8_simhash_dedup": simhash.op8_simhash_dedup,
         "op10_suffix_dedup": suffix.op10_suffix_dedup,
+        "op4_decontamination": decontaminate.op4_decontamination,
         "op7_ring_sharding": sharding.op7_ring_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.OP1_SQL}
+    return {
+        "op1_quality_rules": quality.OP1_SQL,
+        "op4_decontamination": decontaminate.OP4_SQL,
+    }
