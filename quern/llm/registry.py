@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontaminate, quality, sharding, simhash, suffix
+from quern.llm import decontaminate, packing, quality, sharding, simhash, suffix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_dedup": simhash.op8_simhash_dedup,
         "op10_suffix_dedup": suffix.op10_suffix_dedup,
         "op4_decontamination": decontaminate.op4_decontamination,
+        "op6_packing": packing.op6_packing,
         "op7_ring_sharding": sharding.op7_ring_sharding,
     }
 
