@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontaminate, packing, quality, sharding, simhash, suffix
+from quern.llm import decontaminate, packing, quality, sharding, simhash, suffix, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": quality.op1_quality_rules,
         "op8_simhash_dedup": simhash.op8_simhash_dedup,
         "op10_suffix_dedup": suffix.op10_suffix_dedup,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op4_decontamination": decontaminate.op4_decontamination,
         "op6_packing": packing.op6_packing,
         "op7_ring_sharding": sharding.op7_ring_sharding,
@@ -23,5 +24,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality.OP1_SQL,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op4_decontamination": decontaminate.OP4_SQL,
     }
