@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontaminate, htmltext, packing, quality, sharding, simhash, suffix, toxicity, warc
+from quern.llm import decontaminate, htmltext, language, packing, quality, sharding, simhash, suffix, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_dedup": simhash.op8_simhash_dedup,
         "op10_suffix_dedup": suffix.op10_suffix_dedup,
         "op2_toxicity": toxicity.op2_toxicity,
+        "op3_language_id": language.op3_language_id,
         "op4_decontamination": decontaminate.op4_decontamination,
         "op5_html_extraction": htmltext.op5_html_extraction,
         "op6_packing": packing.op6_packing,
