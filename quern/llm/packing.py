@@ -17,6 +17,7 @@ empty table gives no piece.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ TOKENS = 2048
 SEGMENTS = 512
 END = 1
 POOL = 2048
-CHUNK = 12 << 20
+CHUNK = 16 << 20
 VOCABULARY = "word_bpe_49k.json"
 _TOKENIZERS: dict = {}
 
@@ -56,15 +57,61 @@ def tokenizer(path: str | None = None):
     return _TOKENIZERS[path]
 
 
+_PLAIN = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-/:-@\[-`{-~]*)$"
+_KNOWN: dict = {}
+KNOWN = 300_000
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter by which a byte-level vocabulary writes each byte: printable bytes are themselves, others follow from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+
+
+def _of_words(words: pa.Array, path: str | None) -> list[list[int]]:
+    """The ids of each word.
+
+    A word of Latin letters with ASCII punctuation after it is two pieces to the tokenizer, the letters in lower case and
+    the punctuation. Letters go to its model at once, which is much cheaper than its whole pipeline; all other words take
+    the pipeline.
+    """
+    tok = tokenizer(path)
+    found = pc.extract_regex(words, _PLAIN)
+    plain = found.is_valid().to_numpy(zero_copy_only=False)
+    out: list = [None] * len(words)
+    rest = np.flatnonzero(~plain)
+    for i, e in zip(rest.tolist(), tok.encode_batch_fast(words.take(pa.array(rest)).to_pylist(), add_special_tokens=False)):
+        out[i] = e.ids
+    use = pa.array(np.flatnonzero(plain))
+    found = found.take(use)
+    cores, tails = (pc.utf8_lower(found.field(0)) if k == 0 else found.field(1) for k in (0, 1))
+    cores, tails = cores.dictionary_encode(), tails.dictionary_encode()
+    names = cores.dictionary.to_pylist()
+    known = _KNOWN.setdefault(path, {})
+    if len(known) > KNOWN:
+        known.clear()
+    new = [w for w in names if w not in known]
+    if new:
+        model = tok.model.tokenize
+        spelled = "\n".join(new).encode().decode("latin-1").translate({b: c for b, c in _byte_letters().items() if b != 10}).split("\n")
+        known.update(zip(new, ([t.id for t in model(w)] for w in spelled)))
+    core_ids = [known[w] for w in names]
+    tail_ids = [e.ids for e in tok.encode_batch_fast(tails.dictionary.to_pylist(), add_special_tokens=False)]
+    for i, c, t in zip(use.to_pylist(), cores.indices.to_pylist(), tails.indices.to_pylist()):
+        out[i] = core_ids[c] + tail_ids[t] if tail_ids[t] else core_ids[c]
+    return out
+
+
 def encode(texts: pa.Array, path: str | None = None, end: int = END) -> tuple[np.ndarray, np.ndarray]:
     """All ids, each text's followed by end, and the offsets of the texts among them."""
     split = pc.ascii_split_whitespace(texts.fill_null(""))
     if isinstance(split, pa.ChunkedArray):
         split = split.combine_chunks()
     coded = split.flatten().dictionary_encode()
-    made = [e.ids for e in tokenizer(path).encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)]
+    made = _of_words(coded.dictionary, path)
     sizes = np.fromiter(map(len, made), np.int64, len(made))
-    flat = np.fromiter((i for ids in made for i in ids), np.uint32, int(sizes.sum()))
+    flat = np.fromiter(itertools.chain.from_iterable(made), np.uint32, int(sizes.sum()))
     firsts = np.cumsum(sizes) - sizes
     word = coded.indices.to_numpy()
     n = sizes[word]
