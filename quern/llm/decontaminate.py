@@ -186,27 +186,27 @@ def decontaminate(df: DataFrame, items: DataFrame, text: str = "text", item_id:
     blocks = max(1, -(-size // block_bytes))
     named = items.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{item_text}`").alias("text")).where("text IS NOT NULL AND id IS NOT NULL")
     rest = [c for c in df.columns if c not in RESULT and (keep_text or c != text)]
-    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("meta"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = df.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in rest if c != text)).alias("meta"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = rows.withColumns({"_words": F.lit(None).cast("long"), "_hits": F.lit(None).cast("array<int>"), "_items": F.lit(None).cast("array<string>")})
     for k in range(blocks):
         part = named.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).collect()  # about block_bytes of text
         block = Items([r["id"] for r in part], [r["text"] for r in part], window, shingle)
         if block.windows or k == 0:
             rows = _scan(rows, "text", block, block.index(_frequencies(df, text, block.distinct())))
-    return _spelled(rows, rest)
+    return _spelled(rows, rest, text)
 
 
 RESULT = ("n_words", "n_hit", "hit_spans", "items", "contaminated")
 
 
-def _spelled(rows: DataFrame, rest: list[str]) -> DataFrame:
+def _spelled(rows: DataFrame, rest: list[str], text: str) -> DataFrame:
     starts = F.transform(F.sequence(F.lit(1), F.size("_hits"), F.lit(2)), lambda i: F.struct(F.element_at("_hits", i).alias("start"), F.element_at("_hits", i + 1).alias("end")))
     spans = F.when(F.size("_hits") > 0, starts).otherwise(F.expr("CAST(array() AS array<struct<start:int,end:int>>)"))
     # spans are in order of their start, so each adds what lies beyond the furthest end so far
     state = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to"))
     total = F.aggregate("hit_spans", state, lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], s["to"]))).cast("long").alias("n"), F.greatest(s["to"], x["end"]).alias("to")))
     out = rows.withColumn("hit_spans", spans).withColumn("n_hit", total["n"])
-    return out.select(*(F.col(f"meta.`{c}`") for c in rest), F.col("_words").alias("n_words"), "n_hit", "hit_spans", F.col("_items").alias("items"), (F.col("n_hit") > 0).alias("contaminated"))
+    return out.select(*(F.col("text").alias(c) if c == text else F.col(f"meta.`{c}`") for c in rest), F.col("_words").alias("n_words"), "n_hit", "hit_spans", F.col("_items").alias("items"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

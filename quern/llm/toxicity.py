@@ -299,7 +299,9 @@ def score(df: DataFrame, net: Network | None, text: str = "text", keep_text: boo
     """df with score and predicted."""
     sent = df.sparkSession.sparkContext.broadcast(net)  # a constant size
     rest = [c for c in df.columns if c not in ("score", "predicted") and (keep_text or c != text)]
-    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("meta"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = df.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in rest if c != text)).alias("meta"), F.col(f"`{text}`").cast("string").alias("text"))
+
+    schema = T.StructType([rows.schema["meta"], *([rows.schema["text"]] if keep_text else []), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,11 +311,10 @@ def score(df: DataFrame, net: Network | None, text: str = "text", keep_text: boo
                 hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK, side="right")) - 1)
                 part = batch.slice(lo, hi - lo)
                 got = sent.value.score(part.column(1)) if sent.value is not None else np.zeros(hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.float64())], names=["meta", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *([part.column(1)] if keep_text else []), pa.array(got, pa.float64())], names=schema.names)
                 lo = hi
 
-    schema = T.StructType([rows.schema["meta"], T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(run, schema).select(*(F.col(f"meta.`{c}`") for c in rest), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return rows.mapInArrow(run, schema).select(*(F.col("text").alias(c) if c == text else F.col(f"meta.`{c}`") for c in rest), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
