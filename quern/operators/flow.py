@@ -221,7 +221,8 @@ def control_dependence(edges: DataFrame) -> DataFrame:
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
         pairs = Flow(zip(pdf["a"].tolist(), pdf["b"].tolist())).control_dependence()
-        return pd.DataFrame({"function": pdf["function"].iloc[0], "node": [p[0] for p in pairs], "branch": [p[1] for p in pairs]})
+        function = pdf["function"].iloc[0]
+        return pd.DataFrame([(function, *p) for p in pairs], columns=["function", "node", "branch"]).astype({"function": object})
 
     return _per_function(edges, make, "function string, node int, branch int")
 
@@ -239,6 +240,7 @@ def def_use(edges: DataFrame, accesses: DataFrame) -> DataFrame:
             by[0 if is_def else 1][node].append(name)
         n = max([1, *pdf["a"].tolist(), *e["b"].astype(int).tolist()]) + 1
         found = Flow(zip(e["a"].tolist(), e["b"].astype(int).tolist()), n).def_use(*by)
-        return pd.DataFrame({"function": pdf["function"].iloc[0], "variable": [f[0] for f in found], "definition": [f[1] for f in found], "use": [f[2] for f in found]})
+        function = pdf["function"].iloc[0]
+        return pd.DataFrame([(function, *f) for f in found], columns=["function", "variable", "definition", "use"]).astype({"function": object, "variable": object})
 
     return _per_function(both, make, "function string, variable string, definition int, use int")
