@@ -12,6 +12,7 @@ there. Every row is returned. Other columns pass through; result columns replace
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.bytescan import text_bytes
-from quern.llm.shared import store, table
+from quern.llm.shared import chosen, store, table
 from quern.llm.toxicity import BUCKETS, ngrams, split
 
 SAMPLE = 250
@@ -64,8 +65,13 @@ class Model:
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
     """A model of every language in ``lang``, from at most ``sample`` texts of each, of at most ``sample_bytes``."""
     known = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.octet_length("text").between(1, sample_bytes))
-    langs = sorted(r[0] for r in known.select("lang").distinct().collect())
-    texts = {k: [r["text"] for r in known.where(F.col("lang") == k).orderBy(F.xxhash64("text"), "text").limit(sample).collect()] for k in langs}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    langs, texts = sorted(counts), {k: [] for k in counts}
+    # texts below a threshold of their hash, such that about ``sample`` of each language are: what comes here doesn't grow
+    for r in known.where(chosen(F.xxhash64("text"), F.col("lang"), counts, sample)).select("lang", "text").collect():
+        texts[r["lang"]].append(r["text"])
+    texts = {k: sorted(v, key=lambda t: zlib.crc32(t.encode()))[:sample] for k, v in texts.items()}
+    langs = [k for k in langs if texts[k]]
     return Model(langs, texts) if langs else None
 
 

@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
@@ -60,6 +61,15 @@ def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
+def chosen(hashed: Column, group: Column, counts: dict, sample: int) -> Column:
+    """Whether a row's hash is so low that about ``sample`` rows, and a fifth more, of its group's count are chosen."""
+    out = F.when(F.lit(False), F.lit(False))
+    for value, n in counts.items():
+        share = 1.2 * sample / max(n, 1)
+        out = out.when(group == value, F.lit(True) if share >= 1 else F.pmod(hashed, F.lit(1 << 30)) < int(share * (1 << 30)))
+    return out.otherwise(F.lit(False))
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of df's size in bytes (for a scan: the size of its files); 0 where it has none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
