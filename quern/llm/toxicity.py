@@ -14,6 +14,7 @@ is 0. Repeated rows are scored row by row; other columns pass through, and a col
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.bytescan import text_bytes
-from quern.llm.shared import table
+from quern.llm.shared import chosen, table
 
 WINDOW, STRIDE = 32, 16
 HIDDEN = 8
@@ -286,12 +287,14 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, others: int = OTHERS, sample_bytes: int = SAMPLE_BYTES) -> Network | None:
     """Trains on at most ``sample`` toxic and ``others`` other labelled texts, each of at most ``sample_bytes``, never on held-out ids."""
     known = labels.where(~held_out(F.col("doc_id"))).where("toxic IN (0, 1)").select("doc_id", "toxic")
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     texts = docs.where(F.octet_length("text").between(1, sample_bytes)).select("doc_id", "text")
     rows = []
     for c, most in ((0, others), (1, sample)):
-        ids = known.where(F.col("toxic") == c).select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(2 * most)
-        found = texts.join(F.broadcast(ids), "doc_id")  # at most 2 * most ids
-        rows += [(r["text"], c) for r in found.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "text").limit(most).collect()]
+        ids = known.where(chosen(F.xxhash64("doc_id", F.lit(11)), F.col("toxic"), {c: counts.get(c, 0)}, most)).select("doc_id").distinct()
+        found = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text").collect()  # about 1.2 * most ids, so as many texts
+        found.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["text"]))
+        rows += [(r["text"], c) for r in found[:most]]
     return train([t for t, _ in rows], np.array([c for _, c in rows])) if rows else None
 
 
