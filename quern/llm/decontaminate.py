@@ -30,7 +30,7 @@ from quern.llm.shared import table
 
 WINDOW = 10
 SHINGLE = 5
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 CHUNK = 2 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -186,7 +186,7 @@ def decontaminate(df: DataFrame, items: DataFrame, text: str = "text", item_id:
     blocks = max(1, -(-size // block_bytes))
     named = items.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{item_text}`").alias("text")).where("text IS NOT NULL AND id IS NOT NULL")
     rest = [c for c in df.columns if c not in RESULT and (keep_text or c != text)]
-    rows = df.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in rest if c != text)).alias("meta"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = df.select(F.struct(F.lit(0).alias("__none"), *(F.col(f"`{c}`") for c in rest if c != text)).alias("meta"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = rows.withColumns({"_words": F.lit(None).cast("long"), "_hits": F.lit(None).cast("array<int>"), "_items": F.lit(None).cast("array<string>")})
     for k in range(blocks):
         part = named.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).collect()  # about block_bytes of text

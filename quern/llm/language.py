@@ -110,9 +110,11 @@ def visible(page: Column) -> Column:
 def identify(df: DataFrame, model: Model, text: str = "text", host: str = "host", declared: str = "declared") -> DataFrame:
     """df without its text, with text_lang (by text alone), lang, and confidence (the posterior of lang)."""
     n, langs = len(model.langs), F.array(*map(F.lit, model.langs))
-    dotted = F.col(f"`{host}`").contains(".")
-    keyed = df.drop("text_lang", "lang", "confidence").withColumn("_domain", F.when(dotted, F.substring_index(F.col(f"`{host}`"), ".", -2))).withColumn("_suffix", F.when(dotted, F.substring_index(F.col(f"`{host}`"), ".", -1)))
-    rows, _ = store(_posteriors(keyed, text, model))
+    rest = [c for c in df.columns if c not in (text, "text_lang", "lang", "confidence")]
+    at = F.col(f"`{host}`")
+    end = lambda k: F.when(at.contains("."), F.substring_index(at, ".", -k))
+    keyed = df.select(F.struct(F.lit(0).alias("__none"), *(F.col(f"`{c}`") for c in rest)).alias("row"), at.alias("host"), end(2).alias("_domain"), end(1).alias("_suffix"), F.col(f"`{declared}`").alias("declared"), F.col(f"`{text}`").alias("text"))
+    rows, _ = store(_posteriors(keyed, "text", model))
 
     def sums(by: list[str], into: str) -> DataFrame:
         return rows.where(F.col(by[-1]).isNotNull()).groupBy(*by).agg(F.array(*(F.sum(F.col("text_post")[i]) for i in range(n))).alias(into))
@@ -120,7 +122,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", host: str = "host"
     total = rows.agg(*(F.sum(F.col("text_post")[i]) for i in range(n))).first()
     everywhere = [1 / n] * n if total[0] is None else [(x + 1) / (sum(total) + n) for x in total]
     overall = F.array(*map(F.lit, everywhere))
-    hosts = sums(["_domain", f"`{host}`"], "_host_n")
+    hosts = sums(["_domain", "host"], "_host_n")
     domains = sums(["_domain"], "_domain_n")
 
     def of_evidence(by: str, into: str) -> DataFrame:
@@ -131,8 +133,8 @@ def identify(df: DataFrame, model: Model, text: str = "text", host: str = "host"
         share = F.aggregate("_n", F.lit(0.0), lambda a, x: a + x) / F.lit(max(sum(x or 0 for x in everything), 1e-9))
         return found.select(by, F.zip_with("_n", by_lang, lambda x, t: F.log((x + EVIDENCE_WEIGHT * share) / (t + EVIDENCE_WEIGHT))).alias(into))
 
-    said, sits = of_evidence(f"`{declared}`", "_said"), of_evidence("_suffix", "_sits")
-    full = rows.join(hosts.drop("_domain"), host, "left").join(domains, "_domain", "left").join(said, declared, "left").join(sits, "_suffix", "left")
+    said, sits = of_evidence("declared", "_said"), of_evidence("_suffix", "_sits")
+    full = rows.join(hosts.drop("_domain"), "host", "left").join(domains, "_domain", "left").join(said, "declared", "left").join(sits, "_suffix", "left")
     zero = F.array_repeat(F.lit(0.0), n)
     own = F.col("text_post")
     minus = lambda c: F.zip_with(F.coalesce(F.col(c), own), own, lambda a, b: F.greatest(a - b, F.lit(0.0)))
@@ -145,9 +147,8 @@ def identify(df: DataFrame, model: Model, text: str = "text", host: str = "host"
         score = F.zip_with(score, F.coalesce(F.col(c), zero), lambda a, b: a + b)
     full = full.withColumn("_score", score).withColumn("_top", F.array_max("_score"))
     pick = lambda scores, top: F.element_at(langs, F.array_position(scores, top).cast("int"))
-    rest = [c for c in df.columns if c not in (text, "text_lang", "lang", "confidence")]
     return full.select(
-        *(F.col(f"`{c}`") for c in rest),
+        *(F.col(f"row.`{c}`") for c in rest),
         F.when(F.array_max(own) > F.array_min(own), pick(own, F.array_max(own))).alias("text_lang"),
         pick(F.col("_score"), F.col("_top")).alias("lang"),
         (1 / F.aggregate("_score", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top")))).alias("confidence"),

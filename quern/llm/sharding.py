@@ -73,12 +73,14 @@ def shard_of_key(key: Column, shards: int, vnodes: int = VNODES, cells: int = CE
 def shard_rows(df: DataFrame, key: str, shards: int = SHARDS, vnodes: int = VNODES, cells: int = CELLS) -> DataFrame:
     """df with ``shard`` and ``slot`` under the law ``rows``. Columns of these names are replaced."""
     spark = df.sparkSession
-    keyed = df.drop("shard", "slot").withColumn("_h", F.xxhash64(F.col(f"`{key}`"))).withColumn("_cell", F.pmod(F.col("_h"), F.lit(cells)).cast("int"))
-    counts = {r["_cell"]: r["n"] for r in keyed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``cells`` rows
-    plan = spark.createDataFrame(deal(counts, shards, vnodes, cells), "_cell int, _lo long, _hi long, shard int, _slot long")
-    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_cell").orderBy("_h", *(F.col(f"`{c}`") for c in df.columns if c not in ("shard", "slot")))).cast("long") - 1)
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in ("shard", "slot")]
+    h = F.xxhash64(F.col(f"`{key}`"))
+    keyed = df.select(F.struct(*rest).alias("row"), h.alias("h"), F.pmod(h, F.lit(cells)).cast("int").alias("cell"))
+    counts = {r["cell"]: r["n"] for r in keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``cells`` rows
+    plan = spark.createDataFrame(deal(counts, shards, vnodes, cells), "cell int, lo long, hi long, shard int, first long")
+    ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy("h", "row")).cast("long") - 1)
     # at most cells * shards rows
-    return ranked.join(F.broadcast(plan), "_cell").where("_rank >= _lo AND _rank < _hi").withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_lo")).drop("_h", "_cell", "_rank", "_lo", "_hi", "_slot")
+    return ranked.join(F.broadcast(plan), "cell").where("rank >= lo AND rank < hi").select("row.*", "shard", (F.col("first") + F.col("rank") - F.col("lo")).alias("slot"))
 
 
 def op7_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

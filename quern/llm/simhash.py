@@ -55,13 +55,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", shingle: int = SHINGLE, seed: int = SEED, keep_text: bool = True) -> DataFrame:
-    """df with ``fp``, the fingerprint as a signed long."""
+    """df with ``__fp``, the fingerprint as a signed long."""
 
     @F.pandas_udf("long")
     def of(texts):
         return texts.map(lambda t: int(np.uint64(fingerprint(t, shingle, seed)).astype(np.int64))).astype("int64")
 
-    out = df.drop("fp").withColumn("fp", of(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    out = df.withColumn("__fp", of(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
     return out if keep_text else out.drop(text)
 
 
@@ -149,13 +149,11 @@ def near_links(prints: DataFrame, radius: int = RADIUS, parts: int = PARTS, chun
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, keep_text: bool = True) -> DataFrame:
     """df with ``fingerprint`` (16 hex digits) and ``component_id``, the smallest id that links of the radius reach."""
-    rows, rows_at = store(with_fingerprint(df.drop("fingerprint", "component_id"), text, keep_text=keep_text))
-    prints, prints_at = store(rows.groupBy("fp").agg(F.min(id_col).alias("id")))
-    known = prints.where("id IS NOT NULL")
-    found = components(near_links(known, radius)).withColumnRenamed("component", "component_id")
-    of_print = prints.join(found, "id", "left").select("fp", F.coalesce("component_id", "id").alias("component_id"))
-    out = rows.join(of_print, "fp", "left").withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
-    return out.drop("fp")
+    rows, _ = store(with_fingerprint(df.drop("fingerprint", "component_id"), text, keep_text=keep_text))
+    prints, _ = store(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(id_col).alias("id")))
+    found = components(near_links(prints.where("id IS NOT NULL"), radius)).withColumnRenamed("component", "component_id")
+    of_print = prints.join(found, "id", "left").select(F.col("fp").alias("__fp"), F.coalesce("component_id", "id").alias("component_id"))
+    return rows.join(of_print, "__fp", "left").withColumn("fingerprint", F.lower(F.lpad(F.hex("__fp"), 16, "0"))).drop("__fp")
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,10 +162,10 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of df without near-duplicates: of each component, the row with the smallest id (null ids last) stays."""
-    rows, _ = store(df.withColumn("_row", F.monotonically_increasing_id()))
-    prints, _ = store(with_fingerprint(rows.select("_row", F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").alias("text")), "text", keep_text=False))
-    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_row")).alias("first"))
+    rows, _ = store(df.withColumn("__row", F.monotonically_increasing_id()))
+    prints, _ = store(with_fingerprint(rows.select(F.col("__row").alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").alias("text")), "text", keep_text=False))
+    first = prints.groupBy(F.col("__fp").alias("fp")).agg(F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_row")).alias("first"))
     first, _ = store(first.select("fp", "first", F.col("first._row").alias("id")))
     found = components(near_links(first.select("fp", "id"), radius))
     stays = first.join(found, "id", "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("first").alias("first"))
-    return rows.join(stays.select(F.col("first._row").alias("_row")), "_row", "left_semi").drop("_row")
+    return rows.join(stays.select(F.col("first._row").alias("__row")), "__row", "left_semi").drop("__row")

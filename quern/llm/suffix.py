@@ -70,7 +70,7 @@ def difference_cover(q: int) -> tuple[int, list[int]]:
 
 def _blocks(df: DataFrame, text: str, buckets: int, block_bytes: int) -> DataFrame:
     """Rows (b, block, ends, data, meta): texts end to end, with the other columns of their rows."""
-    rest = [F.col(f"`{c}`") for c in df.columns if c != text] or [F.lit(0).alias("_")]
+    rest = [F.col(f"`{c}`") for c in df.columns if c != text] or [F.lit(0).alias("__none")]
     rows = df.select(F.struct(*rest).alias("meta"), F.col(f"`{text}`").cast("string").alias("text"))
     schema = T.StructType([T.StructField("b", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType()), T.StructField("meta", T.ArrayType(rows.schema["meta"].dataType))])
 
