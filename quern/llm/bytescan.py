@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined, in order, until a column of them holds about most_bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= most_bytes:
+            yield pa.concat_batches(held) if len(held) > 1 else batch
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts, one after the other, and the len(texts) + 1 offsets. Null is empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.bytescan import U64, Rolling, mix, text_bytes, words
-from quern.llm.shared import table
+from quern.llm.shared import small_batches, table
 
 WINDOW = 10
 SHINGLE = 5
@@ -181,7 +181,7 @@ def _scan(df: DataFrame, text: str, items: Items, index: dict) -> DataFrame:
 
 def decontaminate(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES, keep_text: bool = True) -> DataFrame:
     """df with n_words, n_hit (words inside an occurrence), hit_spans (word spans), items (ids) and contaminated."""
-    spark = df.sparkSession
+    small_batches(df.sparkSession)
     size = items.agg(F.sum(F.octet_length(F.col(f"`{item_text}`")))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     named = items.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{item_text}`").alias("text")).where("text IS NOT NULL AND id IS NOT NULL")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.shared import table
+from quern.llm.shared import small_batches, table
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -204,6 +204,7 @@ def main_text(page: str | None) -> str:
 
 def extract(df: DataFrame, page: str = "html") -> DataFrame:
     """df without the page, with text and n_chars (code points)."""
+    small_batches(df.sparkSession)
 
     @F.pandas_udf("string")
     def of(pages: pd.Series) -> pd.Series:

@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.bytescan import text_bytes
-from quern.llm.shared import chosen, store, table
+from quern.llm.bytescan import gathered, text_bytes
+from quern.llm.shared import chosen, small_batches, store, table
 from quern.llm.toxicity import BUCKETS, ngrams, split
 
 SAMPLE = 250
@@ -76,11 +76,12 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", sample: int = S
 
 
 def _posteriors(df: DataFrame, text: str, model: Model) -> DataFrame:
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)  # a constant size for each language
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text)).alias("meta"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, 1, CHUNK):
             offsets = text_bytes(batch.column(1))[1]
             lo = 0
             while lo < batch.num_rows:

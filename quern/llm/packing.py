@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.bytescan import text_bytes
-from quern.llm.shared import table
+from quern.llm.bytescan import gathered, text_bytes
+from quern.llm.shared import small_batches, table
 
 TOKENS = 2048
 SEGMENTS = 512
 END = 1
 POOL = 2048
-CHUNK = 16 << 20
+CHUNK = 12 << 20
 VOCABULARY = "word_bpe_49k.json"
 _TOKENIZERS: dict = {}
 
@@ -205,6 +205,7 @@ class Packer:
 
 def pack(df: DataFrame, id_col: str = "doc_id", text: str = "text", tokens: int = TOKENS, segments: int = SEGMENTS, with_ids: bool = False, path: str | None = None) -> DataFrame:
     """One row a piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for."""
+    small_batches(df.sparkSession)
     rows = df.select(F.col(f"`{id_col}`"), F.col(f"`{text}`").cast("string").alias("_text"))
     longs = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in longs), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
@@ -221,7 +222,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text: str = "text", tokens: int
                 cols.append(pa.array([p[2].astype(np.int32) for p in made], pa.list_(pa.int32())))
             return pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
 
-        for batch in batches:
+        for batch in gathered(batches, 1, CHUNK):
             kind = batch.column(0).type
             offsets = text_bytes(batch.column(1))[1]
             lo = 0

@@ -61,6 +61,17 @@ def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on the session hands texts to Python in batches of at most so many rows, a few MB.
+
+    The setting must hold when a lazy result runs, so it stays; it is never raised.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def chosen(hashed: Column, group: Column, counts: dict, sample: int) -> Column:
     """Whether a row's hash is so low that about ``sample`` rows, and a fifth more, of its group's count are chosen."""
     out = F.when(F.lit(False), F.lit(False))

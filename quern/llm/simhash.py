@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
-from quern.llm.shared import store, table
+from quern.llm.shared import small_batches, store, table
 
 RADIUS = 3
 SHINGLE = 3
@@ -56,6 +56,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 def with_fingerprint(df: DataFrame, text: str = "text", shingle: int = SHINGLE, seed: int = SEED, keep_text: bool = True) -> DataFrame:
     """df with ``__fp``, the fingerprint as a signed long."""
+    small_batches(df.sparkSession)
 
     @F.pandas_udf("long")
     def of(texts):

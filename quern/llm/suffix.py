@@ -40,7 +40,7 @@ from quern.llm.shared import materialize, plan_bytes, remove, scratch, settings,
 
 LENGTH = 200
 ORDER = 11  # of the field; v = ORDER**2 + ORDER + 1
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 NAMES = 1 << 20  # a reducer sorts at once, about
 ROUNDS = 2
 

@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.bytescan import text_bytes
-from quern.llm.shared import chosen, table
+from quern.llm.bytescan import gathered, text_bytes
+from quern.llm.shared import chosen, small_batches, table
 
 WINDOW, STRIDE = 32, 16
 HIDDEN = 8
@@ -328,6 +328,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, others: int =
 
 def score(df: DataFrame, net: Network | None, text: str = "text", keep_text: bool = True) -> DataFrame:
     """df with score and predicted."""
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(net)  # a constant size
     rest = [c for c in df.columns if c not in ("score", "predicted") and (keep_text or c != text)]
     rows = df.select(F.struct(F.lit(0).alias("__none"), *(F.col(f"`{c}`") for c in rest if c != text)).alias("meta"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -335,7 +336,7 @@ def score(df: DataFrame, net: Network | None, text: str = "text", keep_text: boo
     schema = T.StructType([rows.schema["meta"], *([rows.schema["text"]] if keep_text else []), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, 1, CHUNK):
             offsets = text_bytes(batch.column(1))[1]
             lo = 0
             while lo < batch.num_rows:
