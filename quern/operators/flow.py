@@ -87,7 +87,7 @@ class Flow:
         """(node, branch): the node runs or not as the branch decides."""
         g, found = self.with_exits(), set()
         ipdom = self.post_dominators()
-        for a in range(self.n):
+        for a in self.order(0, g.out):
             if len(g.out[a]) > 1:
                 for b in g.out[a]:
                     while b >= 0 and b != ipdom[a]:

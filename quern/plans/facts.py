@@ -81,9 +81,9 @@ def fact_identity_join(x: Fixture) -> DataFrame:
     return e.join(r, "relation_id").join(x.nodes.select("node_id", "kind"), "node_id").groupBy("kind", "precision_name").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("relation_id").alias("relations"))
 
 
-@query("SELECT doc_id, quality, toxic, n_chars FROM documents LEFT JOIN labels USING (doc_id)")
+@query("SELECT doc_id, coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic, n_chars FROM documents LEFT JOIN labels USING (doc_id)")
 def optional_inputs(x: Fixture) -> DataFrame:
-    return x.documents.join(x.labels, "doc_id", "left").select("doc_id", "quality", "toxic", "n_chars")
+    return x.documents.join(x.labels, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"), "n_chars")
 
 
 @query("WITH s AS (SELECT 'package:' || n_nationkey AS node_id FROM nation WHERE n_regionkey = 1) SELECT DISTINCT relation_id, kind FROM relations WHERE from_node_id IN (SELECT node_id FROM s) OR to_node_id IN (SELECT node_id FROM s)")

@@ -63,10 +63,10 @@ def scope_union(x: Fixture) -> DataFrame:
     return old.unionByName(new).groupBy("conv_id").agg(F.min(rank).alias("requirement"))
 
 
-@query("""SELECT a.run_id, a.seq, a.stage, b.stage AS parent_stage, a.seq // 4 * 4 AS parent_seq FROM spans a LEFT JOIN spans b ON b.run_id = a.run_id AND b.seq = a.seq // 4 * 4 AND a.seq % 4 <> 0""".replace("a.seq // 4 * 4 AS parent_seq", "CASE WHEN a.seq % 4 <> 0 THEN a.seq // 4 * 4 END AS parent_seq"))
+@query("""SELECT a.run_id, a.seq, a.stage, b.stage AS parent_stage, a.seq // 4 * 4 AS parent_seq FROM spans a LEFT JOIN spans b ON b.run_id = a.run_id AND b.seq = a.seq // 4 * 4 AND a.seq % 4 <> 0""".replace("a.seq // 4 * 4 AS parent_seq", "CASE WHEN a.seq % 4 <> 0 THEN a.seq // 4 * 4 ELSE -1 END AS parent_seq"))
 def span_parents(x: Fixture) -> DataFrame:
     s = x.spans.select("run_id", "seq", "stage", F.when(F.expr("seq % 4 <> 0"), F.expr("(seq DIV 4) * 4")).alias("parent_seq"))
-    return ledger.with_parents(s).select("run_id", "seq", "stage", "parent_stage", "parent_seq")
+    return ledger.with_parents(s).select("run_id", "seq", "stage", "parent_stage", F.coalesce("parent_seq", F.lit(-1)).alias("parent_seq"))
 
 
 @query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
