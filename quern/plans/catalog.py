@@ -11,7 +11,7 @@ from quern.plans.fixture import Fixture, sql
 
 _QUERIES: dict[str, Callable[[Fixture], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("facts", "search", "graph", "context", "sessions", "sources", "flow")
+MODULES = ("facts", "search", "graph", "context", "sessions", "sources", "flow", "retention")
 
 
 def query(text: str | None = None):

@@ -58,3 +58,11 @@ def classify(path: Column) -> tuple[Column, Column]:
     form = F.coalesce(_lookup(base, BASENAMES, 0), F.when(ci, "ci_workflow").when(compose, "compose_file").when(api, "api_description"), _lookup(ext, EXTENSIONS, 0), F.lit("unknown"))
     kind = F.coalesce(_lookup(base, BASENAMES, 1), F.when(ci | compose | api, "configuration").when(test, "test"), _lookup(ext, EXTENSIONS, 1), F.lit("file"))
     return form, kind
+
+
+def language(path: Column, c_units: int, cpp_units: int) -> Column:
+    """The language of a source file by its extension; a header is C++ where the snapshot has more C++ units than C ones."""
+    base = F.lower(last_segment(path))
+    ext = F.when(base.contains("."), F.substring_index(base, ".", -1))
+    code = {k: v for k, v in EXTENSIONS.items() if v[1] == "file"} | {"h": ("cpp" if cpp_units > c_units else "c", "file")}
+    return _lookup(ext, code, 0)
