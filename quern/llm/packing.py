@@ -132,18 +132,19 @@ class Packer:
         self.sequences = 0
         self.open: list[tuple[object, int, np.ndarray, int]] = []
 
-    def add(self, key: object, ids: np.ndarray, bears: np.ndarray | None = None) -> Iterator[tuple]:
+    def add(self, key: object, ids: np.ndarray, bears: np.ndarray | None = None, base: int = 0) -> Iterator[tuple]:
+        """Pieces that are ready once this example is in. base: the example's ids before these, of which more may follow."""
         bears = np.ones(len(ids), bool) if bears is None else bears
         start = 0
         if self.cut:
             while len(ids) - start >= self.tokens and bears[start : start + self.tokens].sum() <= self.limit[2]:
-                yield key, start, ids[start : start + self.tokens], self.sequences, 0
+                yield key, base + start, ids[start : start + self.tokens], self.sequences, 0
                 self.sequences += 1
                 start += self.tokens
         elif len(ids) > self.tokens or bears.sum() > self.limit[2]:
             raise ValueError(f"example {key} is over a limit and mustn't be cut")
         if start < len(ids):
-            self.pool.append((key, start, ids[start:], bears[start:]))
+            self.pool.append((key, base + start, ids[start:], bears[start:]))
         if len(self.pool) >= self.most:
             yield from self._pack(self.most // 4)
 
@@ -243,5 +244,66 @@ def pack(df: DataFrame, id_col: str = "doc_id", text: str = "text", tokens: int
     return rows.mapInArrow(run, schema)
 
 
+def pack_conversations(turns: DataFrame, tokens: int = TOKENS, segments: int = 64, loss: int = TOKENS, bearing: tuple[str, ...] = ("assistant",), path: str | None = None) -> DataFrame:
+    """One row a piece of instruction data: conv_id, start, length, loss_tokens, sequence_id, offset, ids.
+
+    Turns (conv_id, turn, role, text) are ordered within their conversation; the ids of the roles in ``bearing`` bear
+    loss, and END ends every turn. Turns stream through a task one after the other, so a very long conversation is held
+    a few sequences at a time. Null roles bear none, null texts are END alone, turns of equal number keep the order of
+    their role and text.
+    """
+    small_batches(turns.sparkSession)
+    rows = turns.select("conv_id", "role", F.col("text").cast("string").alias("text"), "turn").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    schema = T.StructType([T.StructField("conv_id", turns.schema["conv_id"].dataType), *(T.StructField(c, T.LongType()) for c in ("start", "length", "loss_tokens", "sequence_id", "offset")), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 33
+        packer, made, kind = Packer(tokens, segments, loss), [], None
+        key, held, bears, base, any_ = None, [], [], 0, False
+
+        def flush() -> None:
+            nonlocal held, bears, base
+            if held:
+                ids = np.concatenate(held)
+                masks.setdefault(key, []).append((base, np.concatenate(bears)))
+                made.extend(packer.add(key, ids, np.concatenate(bears), base))
+                base += len(ids)
+                held, bears = [], []
+
+        masks: dict = {}
+
+        def loss_of(k: object, start: int, n: int) -> int:
+            return sum(int(m[max(start - at, 0) : max(start + n - at, 0)].sum()) for at, m in masks.get(k, ()))
+
+        def out() -> pa.RecordBatch:
+            cols = [pa.array([p[0] for p in made], kind)]
+            cols += [pa.array(v, pa.int64()) for v in ([p[1] for p in made], [len(p[2]) for p in made], [loss_of(p[0], p[1], len(p[2])) for p in made], [first + p[3] for p in made], [p[4] for p in made])]
+            return pa.RecordBatch.from_arrays([*cols, pa.array([p[2].astype(np.int32) for p in made], pa.list_(pa.int32()))], names=[f.name for f in schema.fields])
+
+        for batch in gathered(batches, 2, CHUNK):
+            kind = batch.column(0).type
+            ids, at = encode(batch.column(2), path)
+            for k, role, s, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                if not any_ or k != key:
+                    flush()
+                    key, base, any_ = k, 0, True
+                held.append(ids[s:e].astype("<u4"))
+                bears.append(np.full(e - s, role in bearing))
+                if sum(map(len, held)) >= 64 * tokens:
+                    flush()
+            if made:
+                yield out()
+                made = []
+                waiting = {x[0] for x in packer.pool} | {key}
+                for k in [k for k in masks if k not in waiting]:
+                    del masks[k]
+        flush()
+        made.extend(packer.finish())
+        if made:
+            yield out()
+
+    return rows.mapInArrow(run, schema)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))

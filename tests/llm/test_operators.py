@@ -467,3 +467,25 @@ def test_packing_of_odd_rows(spark):
 def test_warc_of_no_rows(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.history(warc.read_archives(warc.write_archives(df))).count() == 0
+
+
+def test_conversations(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-1, 0, None, None), (-1, 1, "assistant", "hello"), (-2, 0, "user", "word " * 9000), (-2, 1, "assistant", "yes " * 3000)], "conv_id long, turn long, role string, text string")
+    turns, tok = turns.unionByName(odd), packing.tokenizer()
+    want = collections.defaultdict(list)
+    for r in turns.orderBy("conv_id", "turn").collect():
+        want[r.conv_id] += [(i, r.role == "assistant") for i in [*tok.encode(r.text or "", add_special_tokens=False).ids, 1]]
+    pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
+    for r in packing.pack_conversations(turns, segments=8, loss=1024).collect():
+        pieces[r.conv_id].append(r)
+        sequences[r.sequence_id].append(r)
+    assert set(pieces) == set(want)
+    for k, rows in pieces.items():
+        at = 0
+        for r in sorted(rows, key=lambda r: r.start):
+            assert r.start == at and r.ids == [i for i, _ in want[k][at : at + r.length]] and r.loss_tokens == sum(b for _, b in want[k][at : at + r.length])
+            at += r.length
+        assert at == len(want[k])
+    for rows in sequences.values():
+        assert sum(r.length for r in rows) <= 2048 and len(rows) <= 8 and sum(r.loss_tokens for r in rows) <= 1024
