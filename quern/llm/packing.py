@@ -37,7 +37,7 @@ TOKENS = 2048
 SEGMENTS = 512
 END = 1
 POOL = 2048
-CHUNK = 12 << 20
+CHUNK = 16 << 20
 VOCABULARY = "word_bpe_49k.json"
 _TOKENIZERS: dict = {}
 
@@ -59,7 +59,7 @@ def tokenizer(path: str | None = None):
 
 _PLAIN = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-/:-@\[-`{-~]*)$"
 _KNOWN: dict = {}
-KNOWN = 300_000
+KNOWN = 600_000
 
 
 def _byte_letters() -> dict[int, int]:
