@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import ast
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -202,45 +202,53 @@ class Lowering(ast.NodeVisitor):
         return Flow(self.edges, self.count)
 
 
-def _per_function(edges: DataFrame, make, schema: str) -> DataFrame:
-    return edges.groupBy("function").applyInPandas(make, schema)
+def _per_function(rows: DataFrame, lists: dict[str, Column], find: Callable[..., list[tuple]], schema: str) -> DataFrame:
+    """find's rows for each function, given its lists: a function is a row, so a batch holds many of them."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by work, which is larger than the rows' size tells
+    per = rows.repartition(parts, "function").groupBy("function").agg(*(F.collect_list(c).alias(k) for k, c in lists.items()))
+    flat = per.select("function", *(F.col(f"{k}.{f}").alias(f"{k}_{f}") for k in lists for f in per.schema[k].dataType.elementType.names))
+
+    def make(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            columns = [[v.tolist() for v in pdf[c]] for c in pdf.columns[1:]]
+            found = [(f, *r) for f, *own in zip(pdf["function"], *columns) for r in find(*own)]
+            yield pd.DataFrame(found, columns=names).astype({n: object for n in names if n in ("function", "variable")})
+
+    names = [field.split()[0] for field in schema.split(", ")]
+    return flat.mapInPandas(make, schema)
 
 
 def dominators(edges: DataFrame) -> DataFrame:
     """(function, node, idom, ipdom) of edges (function, a, b)."""
 
-    def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = Flow(zip(pdf["a"].tolist(), pdf["b"].tolist()))
-        return pd.DataFrame({"function": pdf["function"].iloc[0], "node": range(g.n), "idom": g.dominators(), "ipdom": g.post_dominators()})
+    def find(a: list[int], b: list[int]) -> list[tuple]:
+        g = Flow(zip(a, b))
+        return list(zip(range(g.n), g.dominators(), g.post_dominators()))
 
-    return _per_function(edges, make, "function string, node int, idom int, ipdom int")
+    return _per_function(edges, {"edge": F.struct("a", "b")}, find, "function string, node int, idom int, ipdom int")
 
 
 def control_dependence(edges: DataFrame) -> DataFrame:
     """(function, node, branch) of edges (function, a, b)."""
 
-    def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs = Flow(zip(pdf["a"].tolist(), pdf["b"].tolist())).control_dependence()
-        function = pdf["function"].iloc[0]
-        return pd.DataFrame([(function, *p) for p in pairs], columns=["function", "node", "branch"]).astype({"function": object})
+    def find(a: list[int], b: list[int]) -> list[tuple]:
+        return Flow(zip(a, b)).control_dependence()
 
-    return _per_function(edges, make, "function string, node int, branch int")
+    return _per_function(edges, {"edge": F.struct("a", "b")}, find, "function string, node int, branch int")
 
 
 def def_use(edges: DataFrame, accesses: DataFrame) -> DataFrame:
     """(function, variable, definition, use) of edges and accesses (function, node, variable, is_def)."""
-
     both = edges.select("function", "a", "b", F.lit(None).cast("string").alias("variable"), F.lit(None).cast("boolean").alias("is_def")).unionByName(accesses.select("function", F.col("node").alias("a"), F.lit(None).cast("int").alias("b"), "variable", "is_def"))
+    access, is_def = F.struct("a", "variable"), F.coalesce("is_def", F.lit(False))
+    lists = {"edge": F.when(F.col("b").isNotNull(), F.struct("a", "b")), "def": F.when(F.col("b").isNull() & is_def, access), "use": F.when(F.col("b").isNull() & ~is_def, access)}
 
-    def make(pdf: pd.DataFrame) -> pd.DataFrame:
+    def find(a: list[int], b: list[int], *of: list) -> list[tuple]:
         by: tuple[dict, dict] = (defaultdict(list), defaultdict(list))
-        e = pdf[pdf["b"].notna()]
-        of = pdf[pdf["b"].isna()]
-        for node, name, is_def in zip(of["a"].tolist(), of["variable"].tolist(), of["is_def"].tolist()):
-            by[0 if is_def else 1][node].append(name)
-        n = max([1, *pdf["a"].tolist(), *e["b"].astype(int).tolist()]) + 1
-        found = Flow(zip(e["a"].tolist(), e["b"].astype(int).tolist()), n).def_use(*by)
-        function = pdf["function"].iloc[0]
-        return pd.DataFrame([(function, *f) for f in found], columns=["function", "variable", "definition", "use"]).astype({"function": object, "variable": object})
-
-    return _per_function(both, make, "function string, variable string, definition int, use int")
+        for names, at, variables in zip(by, of[::2], of[1::2]):
+            for node, name in zip(at, variables):
+                names[node].append(name)
+        n = max([1, *a, *b, *of[0], *of[2]]) + 1
+        return Flow(zip(a, b), n).def_use(*by)
+
+    return _per_function(both, lists, find, "function string, variable string, definition int, use int")

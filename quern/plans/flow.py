@@ -12,7 +12,7 @@ from quern.plans.fixture import Fixture
 
 def edges(x: Fixture) -> DataFrame:
     """Line k of an order goes to k + 1, a returned line branches past the next one, a line of odd part loops back."""
-    li = x.lineitem.where("l_orderkey % 10 = 0 OR l_orderkey % 10 = 5").select(F.concat(F.lit("order"), "l_orderkey").alias("function"), F.col("l_linenumber").alias("k"), "l_returnflag", "l_partkey")
+    li = x.lineitem.select(F.concat(F.lit("order"), "l_orderkey").alias("function"), F.col("l_linenumber").alias("k"), "l_returnflag", "l_partkey")
     li = li.groupBy("function", "k").agg(F.max("l_returnflag").alias("flag"), F.max("l_partkey").alias("part"))
     last = li.groupBy("function").agg(F.max("k").alias("last"))
     rows = li.join(last, "function")
@@ -40,5 +40,4 @@ def flow_def_use(x: Fixture) -> DataFrame:
     li = x.lineitem.select(F.concat(F.lit("order"), "l_orderkey").alias("function"), (F.col("l_linenumber") + 1).cast("int").alias("node"), "l_suppkey", "l_partkey")
     d = li.select("function", "node", F.concat(F.lit("v"), F.col("l_suppkey") % 3).alias("variable"), F.lit(True).alias("is_def"))
     u = li.select("function", "node", F.concat(F.lit("v"), F.col("l_partkey") % 3).alias("variable"), F.lit(False).alias("is_def"))
-    e = edges(x)
-    return op.def_use(e, d.unionByName(u).join(e.select("function").distinct(), "function", "left_semi"))
+    return op.def_use(edges(x), d.unionByName(u))
