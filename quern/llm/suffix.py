@@ -14,8 +14,11 @@ position at the same shift, whose next length - v + 1 bytes are equal too. The s
    ``length`` bytes, so that no more than one bucket is on the move. Again one bit comes back for each.
 4. Each block adds up what its repeated strings cover.
 
-Only equality of the first ``length`` bytes matters for what is removed, not lexicographic order, so names are 64-bit
-hashes, ordered as numbers. Names agree by chance with a probability of about n * n / 2**65 for n names in all.
+Only equality of the first ``length`` bytes matters for what is removed, not lexicographic order, so suffixes are ordered
+by hashes and not by their letters. The names that decide what goes, those of suffixes and of whole texts, are pairs of
+independent hashes: one of 64 bits modulo 2**64, of which a window leaves 63 free, and one of 62 bits modulo a prime,
+which tells apart what agrees by its structure modulo a power of two. The cover's 32-bit names only prune: one that
+agrees by chance adds a suffix to sort.
 
 A block sends each name once, however often the block holds it, so a text that a third of all rows hold is sent once a
 block. Null text is empty. Texts shorter than ``length`` lose nothing. Strings don't cross texts. All other columns pass
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.bytescan import U64, Rolling, text_bytes
+from quern.llm.bytescan import U64, PrimeRolling, Rolling, text_bytes
 from quern.llm.shared import materialize, plan_bytes, remove, scratch, settings, shuffle_partitions, store, table
 
 LENGTH = 200
@@ -115,17 +118,20 @@ class _Block:
         self.cfg, self.data, self.ends = cfg, data, ends
         self.starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         self.lens = ends - self.starts
-        self.hash = _rolling()
-        self.prefix = self.hash.prefix(data)
+        self.hash, self.second = _rolling()
+        self.prefix, self.second_prefix = self.hash.prefix(data), self.second.prefix(data)
 
     def reducer(self, h: np.ndarray, n: int) -> np.ndarray:
         return ((h >> U64(32)) * U64(n)) >> U64(32)
 
+    def pairs(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The name of each range: a row of two hashes."""
+        return np.stack([self.hash.ranges(self.prefix, start, end), self.second.ranges(self.second_prefix, start, end)], 1)
+
     def texts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Texts long enough to hold a window: their numbers; distinct names; the name of each; its first text."""
         long = np.flatnonzero(self.lens >= self.cfg["length"])
-        h = self.hash.ranges(self.prefix, self.starts[long], self.ends[long])
-        names, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        names, inverse, first, _ = _distinct(self.pairs(self.starts[long], self.ends[long]))
         return long, names, inverse, first
 
     def cover(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -150,7 +156,7 @@ class _Block:
         np.add.at(mark, hit + 1, -1)
         may = np.cumsum(mark)[:-1] > 0
         long, names, inverse, first = self.texts()
-        state = _bytes(answers, n, n, self.reducer(names, n))
+        state = _bytes(answers, n, n, self.reducer(names[:, 0], n))
         twice = np.bincount(inverse, minlength=len(names)) > 1
         of_text = state[inverse]
         is_first = np.zeros(len(long), bool)
@@ -163,14 +169,14 @@ class _Block:
         ok[self.starts[use]] += 1
         ok[self.ends[use] - length + 1] -= 1
         c = np.flatnonzero(may & (np.cumsum(ok)[:-1] > 0))
-        return c, self.hash.ranges(self.prefix, c, c + length), copies
+        return c, self.pairs(c, c + length), copies
 
     def removed(self, answers: dict[int, bytes]) -> np.ndarray:
         """For each byte, whether it goes."""
         c, h, copies = self.candidates(answers)
-        names, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
+        names, inverse, _, times = _distinct(h)
         n = self.cfg["suffixes"]
-        again = _bits(answers, 2 * self.cfg["samples"], n, self.reducer(names, n)) | (times > 1)
+        again = _bits(answers, 2 * self.cfg["samples"], n, self.reducer(names[:, 0], n)) | (times > 1)
         hit = c[again[inverse]]
         mark = np.zeros(len(self.data) + 1, np.int32)
         mark[hit] += 1
@@ -181,6 +187,21 @@ class _Block:
         return np.cumsum(mark)[:-1] > 0
 
 
+def _distinct(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows of two hashes, ascending; the row of each name; its first place; how often it occurs."""
+    a, b = names[:, 0], names[:, 1]
+    order = np.argsort(a, kind="stable")
+    same = a[order][1:] == a[order][:-1]
+    if (same & (b[order][1:] != b[order][:-1])).any():  # first hashes that agree by chance
+        order = np.lexsort((b, a))
+        same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+    fresh = np.concatenate([np.ones(min(len(a), 1), bool), ~same])
+    inverse = np.empty(len(a), np.int64)
+    inverse[order] = np.cumsum(fresh) - 1
+    first = order[fresh]
+    return names[first], inverse, first, np.bincount(inverse, minlength=len(first))
+
+
 def _bits(answers: dict[int, bytes], base: int, n: int, reducers: np.ndarray) -> np.ndarray:
     """The bits of sorted names: reducers has each name's, ascending."""
     out = np.zeros(len(reducers), bool)
@@ -201,13 +222,13 @@ def _bytes(answers: dict[int, bytes], base: int, n: int, reducers: np.ndarray) -
     return out
 
 
-_ROLLING: list[Rolling] = []
+_ROLLING: list[tuple[Rolling, PrimeRolling]] = []
 
 
-def _rolling() -> Rolling:
-    """One for each worker: its powers are kept."""
+def _rolling() -> tuple[Rolling, PrimeRolling]:
+    """One of each for each worker: their powers are kept."""
     if not _ROLLING:
-        _ROLLING.append(Rolling(20240229))
+        _ROLLING.append((Rolling(20240229), PrimeRolling(20240301)))
     return _ROLLING[0]
 
 
@@ -241,7 +262,7 @@ def _ask_cover(cfg: dict):
             _, names, _, _ = block.cover()
             yield _rows(batch, i, 0, names >> U64(32), (names & U64(0xFFFFFFFF)).astype(np.uint32))
             _, names, _, _ = block.texts()
-            yield _rows(batch, i, cfg["samples"], block.reducer(names, cfg["samples"]), names)
+            yield _rows(batch, i, cfg["samples"], block.reducer(names[:, 0], cfg["samples"]), names)
 
     return ask
 
@@ -252,9 +273,9 @@ def _ask_suffixes(cfg: dict, turn: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i, block, answers in _each(batches, cfg):
             _, h, _ = block.candidates(answers)
-            r = block.reducer(h, n)
-            names = np.unique(h[(r >= U64(turn * n // rounds)) & (r < U64((turn + 1) * n // rounds))])
-            yield _rows(batch, i, 2 * cfg["samples"], block.reducer(names, n), names)
+            r = block.reducer(h[:, 0], n)
+            names = _distinct(h[(r >= U64(turn * n // rounds)) & (r < U64((turn + 1) * n // rounds))])[0]
+            yield _rows(batch, i, 2 * cfg["samples"], block.reducer(names[:, 0], n), names)
 
     return ask
 
@@ -267,19 +288,21 @@ def _answer(cfg: dict):
         g = group.column("g")[0].as_py()
         order = np.argsort(group.column("block").to_numpy(), kind="stable")
         group = group.take(pa.array(order)).combine_chunks()
-        kind = np.uint32 if g < n else U64
-        each = [np.frombuffer(x.as_buffer(), kind) for x in group.column("names").chunk(0)]
-        s = np.sort(np.concatenate(each))
-        again = np.unique(s[1:][s[1:] == s[:-1]])
+        parts = [x.as_buffer() for x in group.column("names").chunk(0)]
+        if g < n:
+            each = [np.frombuffer(x, np.uint32) for x in parts]
+            inverse = np.unique(np.concatenate(each), return_inverse=True)[1]
+        else:
+            each = [np.frombuffer(x, U64).reshape(-1, 2) for x in parts]
+            inverse = _distinct(np.concatenate(each))[1]
+        again = np.bincount(inverse) > 1  # a block sends a name once
         seen = np.zeros(len(again), bool)
         out = []
-        for names in each:
-            k = np.minimum(np.searchsorted(again, names), max(len(again) - 1, 0))
-            hit = again[k] == names if len(again) else np.zeros(len(names), bool)
+        for k in np.split(inverse, np.cumsum([len(x) for x in each])[:-1]):
+            hit = again[k]
             if n <= g < 2 * n:
-                state = np.where(hit, np.where(seen[k], 2, 1) if len(again) else 0, 0).astype(np.uint8)
-                seen[k[hit]] = True
-                out.append(state.tobytes())
+                out.append(np.where(hit, np.where(seen[k], 2, 1), 0).astype(np.uint8).tobytes())
+                seen[k] = True
             else:
                 out.append(np.packbits(hit).tobytes())
         return pa.table([group.column("g"), group.column("b"), group.column("block"), pa.array(out, pa.binary())], names=["g", "b", "block", "bits"])
