@@ -74,53 +74,6 @@ class Rolling:
         return mix((prefix[end] - prefix[start]) * self.down[start])
 
 
-PRIME = U64(2**31 - 1)
-
-
-def _residue(x: np.ndarray) -> np.ndarray:
-    """x modulo PRIME."""
-    for _ in range(2):
-        x = (x & PRIME) + (x >> U64(31))
-    return np.where(x >= PRIME, x - PRIME, x)
-
-
-class PrimeRolling:
-    """As Rolling, but modulo a prime, twice: what agrees by its structure modulo a power of two doesn't here."""
-
-    def __init__(self, seed: int) -> None:
-        rng = np.random.Generator(np.random.PCG64(seed))
-        self.value = [rng.integers(1, int(PRIME), 256, dtype=U64) for _ in range(2)]
-        self.m = [int(rng.integers(1 << 16, int(PRIME) - 1)) for _ in range(2)]
-        self.up = self.down = [np.ones(1, U64)] * 2
-
-    def _powers(self, n: int) -> None:
-        if len(self.up[0]) < n:
-            n = max(n, (1 << 20) + 1)
-
-            def powers(m: int) -> np.ndarray:
-                out = np.ones(1, U64)
-                while len(out) < n:
-                    out = np.concatenate([out, _residue(out * U64(pow(m, len(out), int(PRIME))))])
-                return out[:n]
-
-            self.up, self.down = [powers(m) for m in self.m], [powers(pow(m, -1, int(PRIME))) for m in self.m]
-
-    def prefix(self, data: np.ndarray) -> list[np.ndarray]:
-        self._powers(len(data) + 1)
-        out = []
-        for value, up in zip(self.value, self.up):
-            sums = np.zeros(len(data) + 1, U64)
-            np.cumsum(_residue(value[data] * up[: len(data)]), out=sums[1:])
-            out.append(_residue(sums))
-        return out
-
-    def ranges(self, prefix: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Both hashes of each data[start:end], in one number."""
-        self._powers(len(prefix[0]))
-        a, b = (_residue((p[end] + PRIME - p[start]) * down[start]) for p, down in zip(prefix, self.down))
-        return (a << U64(32)) | b
-
-
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every maximal run of bytes b with is_word[b], and the offsets of each text's words among them."""
     inside = is_word[data]
