@@ -68,7 +68,8 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", sample: int = S
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
     langs, texts = sorted(counts), {k: [] for k in counts}
     # texts below a threshold of their hash, such that about ``sample`` of each language are: what comes here doesn't grow
-    for r in known.where(chosen(F.xxhash64("text"), F.col("lang"), counts, sample)).select("lang", "text").collect():
+    # however many rows share a text, it comes once
+    for r in known.where(chosen(F.xxhash64("text"), F.col("lang"), counts, sample)).select("lang", "text").distinct().collect():
         texts[r["lang"]].append(r["text"])
     texts = {k: sorted(v, key=lambda t: zlib.crc32(t.encode()))[:sample] for k, v in texts.items()}
     langs = [k for k in langs if texts[k]]

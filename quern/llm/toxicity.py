@@ -15,6 +15,7 @@ is 0. Repeated rows are scored row by row; other columns pass through, and a col
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 
@@ -313,17 +314,30 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, others: int = OTHERS, sample_bytes: int = SAMPLE_BYTES) -> Network | None:
-    """Trains on at most ``sample`` toxic and ``others`` other labelled texts, each of at most ``sample_bytes``, never on held-out ids."""
+    """Trains on at most ``sample`` toxic and ``others`` other labelled texts, each of at most ``sample_bytes``, never on held-out ids.
+
+    One task trains, so the driver holds no text, and a lost executor costs one training. Of documents that share an id
+    the least text is taken.
+    """
     known = labels.where(~held_out(F.col("doc_id"))).where("toxic IN (0, 1)").select("doc_id", "toxic")
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     texts = docs.where(F.octet_length("text").between(1, sample_bytes)).select("doc_id", "text")
-    rows = []
+    parts = []
     for c, most in ((0, others), (1, sample)):
         ids = known.where(chosen(F.xxhash64("doc_id", F.lit(11)), F.col("toxic"), {c: counts.get(c, 0)}, most)).select("doc_id").distinct()
-        found = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text").collect()  # about 1.2 * most ids, so as many texts
-        found.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["text"]))
-        rows += [(r["text"], c) for r in found[:most]]
-    return train([t for t, _ in rows], np.array([c for _, c in rows])) if rows else None
+        # about 1.2 * most ids, and a text for each
+        parts.append(texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select(F.col("doc_id").cast("string").alias("id"), "text", F.lit(c).alias("toxic")))
+    most_of = {0: others, 1: sample}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(*(batch.column(k).to_pylist() for k in range(3)))]
+        rows.sort(key=lambda r: (zlib.crc32(r[0].encode()), r[1]))
+        rows = [r for c, most in most_of.items() for r in [r for r in rows if r[2] == c][:most]]
+        net = train([t for _, t, _ in rows], np.array([c for _, _, c in rows])) if rows else None
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+
+    made = parts[0].unionByName(parts[1]).repartition(1).mapInArrow(run, "net binary").collect()  # about 1 MB
+    return pickle.loads(made[0]["net"]) if made else None
 
 
 def score(df: DataFrame, net: Network | None, text: str = "text", keep_text: bool = True) -> DataFrame:
