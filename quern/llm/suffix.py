@@ -171,26 +171,28 @@ class _Block:
         """For each range of shifts: its number, the cover positions, distinct surroundings, their reducers, and those of each position."""
         at, h, hot, starts, ends = self.sites(copies)
         length, n, rounds = self.cfg["length"], self.cfg["reducers"], self.cfg["rounds"]
+        reach, rolling = 2 * length, _rolling()
+        prefix = rolling.prefix(self.data) if hot.any() else None
+        windows = np.lib.stride_tricks.sliding_window_view(np.pad(self.data, reach), reach)
         for kind, (lo, hi) in enumerate(self.cfg["ranges"]):
             least, most = np.maximum(lo, length - (ends - at)), np.minimum(hi - 1, at - starts)
             some = np.flatnonzero((hot if kind else ~hot) & (least <= most))
-            if kind:
-                key = _rolling().ranges(_rolling().prefix(self.data), at[some] - lo, at[some] + length - hi + 1)
-            else:
-                key = h[some]
+            if not len(some):
+                continue
+            key = rolling.ranges(prefix, at[some] - lo, at[some] + length - hi + 1) if kind else h[some]
             r = self.reducer(key, n)
             if turn is not None:
                 now = (r >= U64(turn * n // rounds)) & (r < U64((turn + 1) * n // rounds))
                 some, r = some[now], r[now]
-            a = at[some]
-            width = 7 + (hi - 1) + (length - lo)
+            a, left, right = at[some], hi - 1, length - lo
+            width = 7 + left + right
             rows = np.empty((len(a), width), np.uint8)
             rows[:, :4] = r.astype(">u4").view(np.uint8).reshape(-1, 4)
             rows[:, 4], rows[:, 5], rows[:, 6] = 0, least[some], most[some]
-            for side, steps in ((slice(7, 6 + hi), -1 - np.arange(hi - 1)), (slice(6 + hi, width), np.arange(length - lo))):
-                where = a[:, None] + steps
-                inside = (where >= starts[some][:, None]) & (where < ends[some][:, None])
-                rows[:, side] = np.where(inside, self.data[np.clip(where, 0, max(len(self.data) - 1, 0))], 0)
+            around = windows[a + reach - left, : left + right]
+            for rim, room, steps in ((np.flatnonzero(a - starts[some] < left), a - starts[some], left - 1 - np.arange(left + right)), (np.flatnonzero(ends[some] - a < right), ends[some] - a - 1, np.arange(left + right) - left)):
+                around[rim] *= steps <= room[rim][:, None]  # bytes of other texts
+            rows[:, 7 : 7 + left], rows[:, 7 + left :] = around[:, :left][:, ::-1], around[:, left:]
             made, inverse, times = np.unique(rows.view(f"S{width}").ravel(), return_inverse=True, return_counts=True)
             made = made.view(np.uint8).reshape(-1, width).copy()
             made[:, 4] = times > 1
@@ -199,7 +201,7 @@ class _Block:
     def removed(self) -> np.ndarray:
         """For each byte, whether it goes."""
         copies = self.copies()
-        mark = np.zeros(len(self.data) + 1, np.int32)
+        mark, starts = np.zeros(len(self.data) + 1, np.int32), np.zeros(len(self.data), bool)
         for kind, a, made, reducers, inverse in self.items(copies):
             lo, hi = self.cfg["ranges"][kind]
             shifts = np.zeros((len(made), hi - lo), bool)
@@ -209,10 +211,10 @@ class _Block:
                 if got is not None:
                     packed = np.frombuffer(got, np.uint8).reshape(bounds[r + 1] - bounds[r], -1)
                     shifts[bounds[r] : bounds[r + 1]] = np.unpackbits(packed, axis=1, count=hi - lo).astype(bool)
-            for k in range(hi - lo):
-                hit = a[shifts[inverse, k]] - (lo + k)
-                mark[hit] += 1  # a shift's positions differ
-                mark[hit + self.cfg["length"]] -= 1
+            starts[(a[:, None] - np.arange(lo, hi))[shifts[inverse]]] = True
+        starts = np.flatnonzero(starts)
+        mark[starts] += 1
+        mark[starts + self.cfg["length"]] -= 1
         whole = copies > 0
         np.add.at(mark, self.starts[whole], 1)
         np.add.at(mark, self.ends[whole], -1)
