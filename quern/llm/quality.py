@@ -88,21 +88,23 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     names = [c for c in df.columns if c not in MEASURES]
     lines = F.filter(F.split(t, "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    split = df.select(*(F.col(f"`{c}`") for c in names), F.regexp_extract_all(t, F.lit(WORD), F.lit(0)).alias("__words"), lines.alias("__lines"))
-    w = F.col("__words")
+    rest = F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`") for c in names))
+    split = df.select(rest.alias("of"), t.alias("text"), F.regexp_extract_all(t, F.lit(WORD), F.lit(0)).alias("words"), lines.alias("lines"))
+    t, w = F.col("text"), F.col("words")
     hashes = F.when(F.size(w) > WINDOW, F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(WINDOW)))))
     counted = split.select(
-        "*",
+        "of",
+        "words",
         F.size(w).cast("long").alias("n_words"),
         F.length(F.regexp_replace(t, SPACE, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace(t, r"[^!]+", "")).cast("long").alias("n_exclamations"),
-        F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        hashes.alias("__hashes"),
+        F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        hashes.alias("hashes"),
     )
-    repeated = F.col("__hashes").isNotNull() & (F.size(F.array_distinct("__hashes")) < F.size("__hashes"))
-    return counted.select(*(F.col(f"`{c}`") for c in names), *(c for c in MEASURES if c != "n_repeat_words"), F.when(repeated, _repeated_words(w, F.size(w))).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"))
+    repeated = F.col("hashes").isNotNull() & (F.size(F.array_distinct("hashes")) < F.size("hashes"))
+    return counted.select(*(F.col(f"of.`{c}`") for c in names), *(c for c in MEASURES if c != "n_repeat_words"), F.when(repeated, _repeated_words(w, F.size(w))).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"))
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_exclamations", "n_lines", "n_dup_lines", "n_repeat_words")

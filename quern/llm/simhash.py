@@ -1,21 +1,28 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-Each text becomes a 64-bit fingerprint of its 3-word shingles. Distinct fingerprints are laid into tiles by the
+Each text becomes a 64-bit fingerprint of its word shingles. Distinct fingerprints are laid into tiles by the
 population counts of their four 16-bit parts. The counts of two fingerprints can't differ by more, summed over the
 parts, than the fingerprints do in bits; so a tile meets only the tiles whose counts lie within the radius, and every
 other pair of tiles is skipped. Within a pair of tiles, numpy compares by exclusive or and bit counts, exactly.
 
 A task emits links that join what is not joined yet, a forest over its tile, never all pairs: the components are the
-same. A tile of more than CHUNK fingerprints is cut into chunks by hash; visitors then go to every chunk of it, so no
-task holds more than a chunk and the visitors it streams.
+same. A tile of more than CHUNK fingerprints is cut into chunks by hash, and what visits it into slices; a task holds
+one chunk and one slice, so its memory doesn't grow with the data.
+
+``keep_first`` drops documents by similarity: five-word shingles, of which at least 0.8 of all that two texts hold must
+be common. Such texts differ in up to WIDE bits, and at that radius population counts tell nothing apart, so tiles are
+made of the number of distinct shingles: that of two similar texts differs by a factor of 0.8 at most, and all other
+pairs of tiles are skipped. Fingerprints within the radius are compared by sketches of their shingles (the least hash in
+each of BINS ranges), which give a forest of likely links; the links of the forest are checked on the texts.
 
 Null text, and text without a word, has fingerprint zero, which links like any other. Repeated rows each get a row. Other
-columns pass through; columns named fingerprint and component_id are replaced. Ids must not be null for component_id
-to be the smallest doc_id reachable: a null id never is one.
+columns pass through, whatever their names; columns named fingerprint and component_id are replaced. Ids must not be
+null for component_id to be the smallest doc_id reachable: a null id never is one. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import re
 from collections.abc import Iterator
@@ -27,43 +34,62 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
-from quern.llm.shared import small_batches, store, table
+from quern.llm.shared import remove, small_batches, store, table
 
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
 PARTS = 4
 CHUNK = 1 << 15
+SIMILAR = 0.8
+SIMILAR_SHINGLE = 5
+WIDE = 20
+BINS = 128
+LIKELY, SURE = 0.7, 0.84  # by sketches
+SIMILAR_CHUNK = 1 << 13
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The fingerprint of one text: bit i is 1 if bit i is set in over half of its shingles' hashes."""
-    words = _WORD.findall((text or "").encode().translate(_LOWER))
-    if not words:
-        return 0
+def _hashes(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return digest(b" ".join(words), seed)
+        return np.array([digest(b" ".join(words), seed)], np.uint64)
     joined = map(b" ".join, zip(*(itertools.islice(words, k, None) for k in range(shingle))))
-    hashes = np.fromiter((digest(s, seed) for s in joined), np.uint64, len(words) - shingle + 1)
+    return np.fromiter((digest(s, seed) for s in joined), np.uint64, len(words) - shingle + 1)
+
+
+def _majority(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for lo in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def _words(text: str | None) -> list[bytes]:
+    return _WORD.findall((text or "").encode().translate(_LOWER))
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The fingerprint of one text: bit i is 1 if bit i is set in over half of its shingles' hashes."""
+    words = _words(text)
+    return _majority(_hashes(words, shingle, seed)) if words else 0
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def with_fingerprint(df: DataFrame, text: str = "text", shingle: int = SHINGLE, seed: int = SEED, keep_text: bool = True) -> DataFrame:
-    """df with ``__fp``, the fingerprint as a signed long."""
+    """(row, fp): all columns of df as one, without the text unless it is to be kept, and the fingerprint as a signed long."""
     small_batches(df.sparkSession)
 
     @F.pandas_udf("long")
     def of(texts):
-        return texts.map(lambda t: int(np.uint64(fingerprint(t, shingle, seed)).astype(np.int64))).astype("int64")
+        return texts.map(lambda t: _signed(fingerprint(t, shingle, seed))).astype("int64")
 
-    out = df.withColumn("__fp", of(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    return out if keep_text else out.drop(text)
+    rest = [F.col(f"`{c}`") for c in df.columns if keep_text or c != text]
+    return df.select(F.struct(F.lit(0).alias("__none"), *rest).alias("row"), of(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("fp"))
 
 
 def _counts(fp: Column, parts: int = PARTS) -> list[Column]:
@@ -124,18 +150,32 @@ def _forest(home: np.ndarray, visitors: np.ndarray, radius: int, rows: int = 256
             yield np.array(left, np.int64), np.array(right, np.int64)
 
 
+def _in_chunks(homes: DataFrame, moves: list[int], chunk: int) -> DataFrame:
+    """Rows (tile, fp, ...) by the tasks that compare them: (tile, part, slice, home, fp, ...).
+
+    A tile's rows live in chunks; the rows of tiles a move below it, and those of its own chunks before, visit in slices.
+    Every pair of rows whose tiles are equal or a move apart meets in exactly one task, and a task has about a chunk of
+    homes and two of visitors at most.
+    """
+    data = [c for c in homes.columns if c != "tile"]
+    count = homes.groupBy("tile").agg(F.count(F.lit(1)).alias("n"))
+    step = F.explode(F.array(*map(F.lit, moves)))
+    guests = count.select("tile", "n", step.alias("move")).groupBy((F.col("tile") + F.col("move")).alias("tile")).agg(F.sum("n").alias("m"))
+    sizes = count.join(guests, "tile", "left").select("tile", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"), F.ceil((F.coalesce("m", F.lit(0)) + F.when(F.col("n") > chunk, F.col("n")).otherwise(0)) / (2 * chunk)).cast("int").alias("slices"))
+    sizes = F.broadcast(sizes.select("tile", "chunks", F.greatest("slices", F.lit(1)).alias("slices")))  # a row a tile: at most 17**4
+    part = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    one = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("slices")).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    settled = homes.join(sizes, "tile").select("tile", part.alias("part"), "slices", "chunks", one.alias("one"), *data)
+    at_home = settled.select("tile", "part", F.explode(upto("slices")).alias("slice"), F.lit(True).alias("home"), *data)
+    visits = homes.select("tile", *data, step.alias("move")).withColumn("tile", F.col("tile") + F.col("move")).join(sizes, "tile")  # tiles where nobody lives get no visit
+    calls = visits.select("tile", F.explode(upto("chunks")).alias("part"), one.alias("slice"), F.lit(False).alias("home"), *data)
+    within = settled.where("part < chunks - 1").select("tile", F.explode(F.sequence(F.col("part") + 1, F.col("chunks") - 1)).alias("part"), F.col("one").alias("slice"), F.lit(False).alias("home"), *data)
+    return at_home.union(calls).union(within)
+
+
 def near_links(prints: DataFrame, radius: int = RADIUS, parts: int = PARTS, chunk: int = CHUNK) -> DataFrame:
     """(a, b): ids whose links have the same components as all links of distinct fingerprints (fp, id) within the radius."""
-    homes = prints.select("fp", "id", _tile(F.col("fp"), parts).alias("tile"))
-    sizes = homes.groupBy("tile").agg(F.count(F.lit(1)).alias("n")).select("tile", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))  # at most 17**4 tiles
-    sizes = F.broadcast(sizes)
-    part = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    settled = homes.join(sizes, "tile").select("tile", part.alias("part"), F.lit(True).alias("home"), "fp", "id")
-    visits = homes.select("fp", "id", "tile", F.explode(F.array(*map(F.lit, _moves(radius, parts)))).alias("move")).withColumn("tile", F.col("tile") + F.col("move"))
-    visits = visits.join(sizes, "tile")  # tiles where nobody lives get no visit
-    calls = visits.select("tile", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"), F.lit(False).alias("home"), "fp", "id")
-    # fingerprints of one tile in different chunks meet too: those of lower chunks visit the higher ones
-    within = settled.join(sizes, "tile").where("part < chunks - 1").select("tile", F.explode(F.sequence(F.col("part") + 1, F.col("chunks") - 1)).alias("part"), F.lit(False).alias("home"), "fp", "id")
 
     def link(group: pa.Table) -> pa.Table:
         home = group.column("home").to_numpy()
@@ -145,28 +185,154 @@ def near_links(prints: DataFrame, radius: int = RADIUS, parts: int = PARTS, chun
         a, b = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
         return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
 
-    return settled.union(calls).union(within).groupBy("tile", "part").applyInArrow(link, "a long, b long")
+    homes = prints.select("fp", "id", _tile(F.col("fp"), parts).alias("tile"))
+    return _in_chunks(homes, _moves(radius, parts), chunk).groupBy("tile", "part", "slice").applyInArrow(link, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, keep_text: bool = True) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, keep_text: bool = True, chunk: int = CHUNK) -> DataFrame:
     """df with ``fingerprint`` (16 hex digits) and ``component_id``, the smallest id that links of the radius reach."""
     rows, _ = store(with_fingerprint(df.drop("fingerprint", "component_id"), text, keep_text=keep_text))
-    prints, _ = store(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(id_col).alias("id")))
-    found = components(near_links(prints.where("id IS NOT NULL"), radius)).withColumnRenamed("component", "component_id")
-    of_print = prints.join(found, "id", "left").select(F.col("fp").alias("__fp"), F.coalesce("component_id", "id").alias("component_id"))
-    return rows.join(of_print, "__fp", "left").withColumn("fingerprint", F.lower(F.lpad(F.hex("__fp"), 16, "0"))).drop("__fp")
+    prints, _ = store(rows.groupBy("fp").agg(F.min(F.col(f"row.`{id_col}`")).alias("id")))
+    found = components(near_links(prints.where("id IS NOT NULL"), radius, chunk=chunk)).withColumnRenamed("component", "component_id")
+    of_print = prints.join(found, "id", "left").select("fp", F.coalesce("component_id", "id").alias("component_id"))
+    names = [F.col(f"row.`{c}`") for c in df.columns if c not in ("fingerprint", "component_id") and (keep_text or c != text)]
+    return rows.join(of_print, "fp", "left").select(*names, "component_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False).select("doc_id", "fingerprint", "component_id")
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of df without near-duplicates: of each component, the row with the smallest id (null ids last) stays."""
-    rows, _ = store(df.withColumn("__row", F.monotonically_increasing_id()))
-    prints, _ = store(with_fingerprint(rows.select(F.col("__row").alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").alias("text")), "text", keep_text=False))
-    first = prints.groupBy(F.col("__fp").alias("fp")).agg(F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_row")).alias("first"))
-    first, _ = store(first.select("fp", "first", F.col("first._row").alias("id")))
-    found = components(near_links(first.select("fp", "id"), radius))
-    stays = first.join(found, "id", "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("first").alias("first"))
-    return rows.join(stays.select(F.col("first._row").alias("__row")), "__row", "left_semi").drop("__row")
+def signature(text: str | None, shingle: int = SIMILAR_SHINGLE, seed: int = SEED) -> tuple[int, int, bytes, bytes]:
+    """Of one text: the fingerprint of its distinct shingles, their number, their sketch, and a digest of its words."""
+    words = _words(text)
+    digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+    if not words:
+        return 0, 0, bytes(BINS), digest
+    hashes = np.unique(_hashes(words, shingle, seed))
+    sketch = np.zeros(BINS, np.uint8)
+    which, first = np.unique((hashes >> np.uint64(57)).astype(np.int64), return_index=True)
+    sketch[which] = hashes[first] % np.uint64(255) + np.uint64(1)  # 0: nothing in this range
+    return _signed(_majority(hashes)), len(hashes), sketch.tobytes(), digest
+
+
+def similarity(a: str | None, b: str | None, shingle: int = SIMILAR_SHINGLE) -> float:
+    """The share of common shingles among all distinct ones of two texts; 1 if neither has any."""
+    x, y = (set(_hashes(w, shingle, SEED).tolist()) if w else set() for w in (_words(a), _words(b)))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+class _Joined:
+    """Which of some places are joined."""
+
+    def __init__(self, n: int) -> None:
+        self.parent, self.label = np.arange(n), np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Joins pairs, of those with one end in common the first one first; the pairs that joined what wasn't joined before."""
+        used, left = [], np.arange(len(i))
+        while len(left := left[self.label[i[left]] != self.label[j[left]]]):
+            for k in left[np.sort(np.unique(self.label[j[left]], return_index=True)[1])].tolist():
+                p, q = _find(self.parent, i[k]), _find(self.parent, j[k])
+                if p != q:
+                    self.parent[max(p, q)] = min(p, q)
+                    used.append(k)
+            while (self.parent[self.parent] != self.parent).any():
+                self.parent = self.parent[self.parent]
+            self.label = self.parent.copy()
+        return np.array(used, np.int64)
+
+
+def likely_links(fp: np.ndarray, size: np.ndarray, sketch: np.ndarray, homes: int, at_home: bool, least: float = SIMILAR, radius: int = WIDE, rows: int = 256, columns: int = 1 << 13) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) between the first ``homes`` places and the others, and among them if at_home, that are likely by sketches.
+
+    Two forests: one of links that are all but sure, one of likely links as well. So a link that fails later on the texts
+    doesn't stand for one that wouldn't.
+    """
+    sure, likely, left, right = _Joined(len(fp)), _Joined(len(fp)), [], []
+    home = np.argsort(size[:homes], kind="stable")
+    spans = [home] if at_home else []
+    spans.append(homes + np.argsort(size[homes:], kind="stable"))
+    for lo in range(0, homes, rows):
+        a = home[lo : lo + rows]
+        for others in spans:
+            s = size[others]
+            first = max(np.searchsorted(s, least * size[a[0]] - 1e-9), lo if others is home else 0)
+            last = np.searchsorted(s, size[a[-1]] / least + 1e-9, side="right")
+            for at in range(first, last, columns):
+                b = others[at : min(at + columns, last)]
+                i, j = np.nonzero(np.bitwise_count(fp[a][:, None] ^ fp[b][None, :]) <= radius)
+                i, j = a[i], b[j]
+                ok = (i != j) & (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j])) & (sure.label[i] != sure.label[j])
+                i, j = i[ok], j[ok]
+                share = np.empty(len(i))
+                for k in range(0, len(i), 1 << 14):
+                    x, y = sketch[i[k : k + (1 << 14)]], sketch[j[k : k + (1 << 14)]]
+                    share[k : k + (1 << 14)] = ((x == y) & (x > 0)).sum(1) / np.maximum(((x > 0) | (y > 0)).sum(1), 1)
+                order = np.argsort(-share, kind="stable")
+                order = order[share[order] >= LIKELY]
+                i, j, share = i[order], j[order], share[order]
+                strong = int((share >= SURE).sum())
+                keep = sure.join(i[:strong], j[:strong])
+                more = likely.join(i, j)
+                keep = np.concatenate([keep, more[more >= strong]])
+                left.append(i[keep])
+                right.append(j[keep])
+    return np.concatenate([*left, np.zeros(0, np.int64)]), np.concatenate([*right, np.zeros(0, np.int64)])
+
+
+def _signatures(rows: DataFrame, shingle: int) -> DataFrame:
+    """(row, id, text) as (row, id, fp, size, sketch, digest)."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [signature(t, shingle) for t in batch.column(2).to_pylist()]
+            parts = [pa.array([m[k] for m in made], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *parts], names=["row", "id", "fp", "size", "sketch", "digest"])
+
+    return rows.mapInArrow(run, f"row long, id {kind}, fp long, size long, sketch binary, digest binary")
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, least: float = SIMILAR, radius: int = WIDE, shingle: int = SIMILAR_SHINGLE, chunk: int = SIMILAR_CHUNK) -> DataFrame:
+    """(a, b): ids of nodes (id, fp, size, sketch) whose texts (id, text) are similar: a forest of them, each checked."""
+
+    def link(group: pa.Table) -> pa.Table:
+        home = group.column("home").to_numpy()
+        order = np.argsort(~home, kind="stable")
+        col = lambda c: group.column(c).to_numpy()[order]
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)[order]
+        i, j = likely_links(col("fp").view(np.uint64), col("size"), sketch, int(home.sum()), group.column("slice")[0].as_py() == 0, least, radius)
+        ids = col("id")
+        return pa.table({"a": pa.array(ids[i], pa.int64()), "b": pa.array(ids[j], pa.int64())})
+
+    width = float(-np.log(least))
+    tiles = nodes.where("size > 0").select("id", "fp", "size", "sketch", F.floor(F.log(F.col("size").cast("double")) / width).cast("int").alias("tile"))
+    found = _in_chunks(tiles, [1], chunk).groupBy("tile", "part", "slice").applyInArrow(link, "a long, b long")
+
+    @F.pandas_udf("double")
+    def alike(x, y):
+        return x.combine(y, lambda p, q: similarity(p, q, shingle)).astype("float64")
+
+    pairs = found.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    return pairs.where(alike("x", "y") >= least).select("a", "b")
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILAR, radius: int = WIDE, shingle: int = SIMILAR_SHINGLE, chunk: int = SIMILAR_CHUNK) -> DataFrame:
+    """The rows of df without near-duplicates: of each class of similar texts, the row with the smallest id (null ids last) stays.
+
+    Classes are those that links between texts of similarity ``least`` or more make; texts of the same words are alike.
+    """
+    spark = df.sparkSession
+    small_batches(spark)
+    rows, _ = store(df.select(F.monotonically_increasing_id().alias("row"), F.struct(F.lit(0).alias("__none"), *(F.col(f"`{c}`") for c in df.columns)).alias("of")))
+    prints, at_prints = store(_signatures(rows.select("row", F.col(f"of.`{id_col}`").alias("id"), F.col(f"of.`{text}`").cast("string").alias("text")), shingle))
+    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
+    nodes, at_nodes = store(prints.groupBy("digest").agg(best, F.any_value("fp").alias("fp"), F.any_value("size").alias("size"), F.any_value("sketch").alias("sketch")).select("first", F.col("first.row").alias("id"), "fp", "size", "sketch"))
+    texts = rows.select(F.col("row").alias("id"), F.col(f"of.`{text}`").alias("text"))
+    links, at_links = store(similar_links(nodes.select("id", "fp", "size", "sketch"), texts, least, radius, shingle, chunk))
+    found = components(links)
+    stays, _ = store(nodes.join(found, "id", "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("row")))
+    for path in (at_prints, at_nodes, at_links):
+        remove(spark, path)
+    return rows.join(stays, "row", "left_semi").select(*(F.col(f"of.`{c}`") for c in df.columns))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quern.llm import decontaminate, htmltext, language, packing, quality, sharding, simhash, suffix, toxicity, warc
 from quern.llm.components import components
 
-CLASHING = ("meta", "b", "block", "ends", "data", "answers", "id", "tile", "fp", "row", "h", "cell", "rank", "host", "_words", "_row", "_", "score", "n_words", "kept", "shard", "slot", "fingerprint", "n_hit", "n_bytes")
+CLASHING = ("meta", "b", "block", "ends", "data", "answers", "id", "tile", "fp", "row", "h", "cell", "rank", "host", "_words", "_row", "__words", "__lines", "__hashes", "__fp", "__row", "of", "digest", "size", "sketch", "_", "score", "n_words", "kept", "shard", "slot", "fingerprint", "n_hit", "n_bytes")
 
 
 def docs_of(spark, texts, clash=False):
@@ -171,10 +171,56 @@ def test_simhash(spark, sf_dir):
     prints = [print_of(t) for t in texts]
     for d, p, c in zip(ids, prints, linked(prints, ids)):
         assert (got[d].fingerprint, got[d].component_id) == (f"{p:016x}", c)
-    kept = {r.doc_id for r in simhash.keep_first(df).collect()}
-    assert kept == set(linked(prints, ids))
+
+
+def shingles_of(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else {""}
+
+
+def test_similar_texts(spark, sf_dir):
+    """The documents kept against a comparison of all pairs of texts, with copies changed more and more."""
+    rng = random.Random(4)
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    texts, ids = [*(r.text for r in rows), *ODD], [*(r.doc_id for r in rows), *range(10**6, 10**6 + len(ODD))]
+    for n in (30, 90, 400):
+        base = [f"w{rng.randrange(900)}" for _ in range(n)]
+        for changes in (0, 0, 1, 1, 2, 3, 4, 6, 9):
+            words = list(base)
+            for _ in range(changes):
+                words[rng.randrange(n)] = "other"
+            texts.append(" ".join(words))
+            ids.append(2 * 10**6 + len(ids))
+    sets = [shingles_of(t) for t in texts]
+    least = dict(zip(ids, ids))
+    alike = [(i, j) for i in range(len(ids)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in range(20):
+        for i, j in alike:
+            least[ids[i]] = least[ids[j]] = min(least[ids[i]], least[ids[j]])
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").withColumns({c: F.lit("x") for c in CLASHING})
+    for chunk in (1 << 13, 20):
+        kept = sorted(r.doc_id for r in simhash.keep_first(df, chunk=chunk).collect())
+        assert kept == sorted(set(least.values()))
     twice = simhash.keep_first(df.union(df))
-    assert sorted(r.doc_id for r in twice.collect()) == sorted(kept)
+    assert sorted(r.doc_id for r in twice.collect()) == kept and twice.columns == df.columns
+    assert simhash.keep_first(df.limit(0)).count() == 0
+
+
+def test_forest_of_a_large_class():
+    """A class of hundreds of similar texts gives links that join it, and about as many."""
+    rng = np.random.default_rng(2)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 120)]
+    made = []
+    for _ in range(700):
+        words = list(base)
+        words[int(rng.integers(0, 120))] = f"x{rng.integers(0, 9999)}"
+        made.append(simhash.signature(" ".join(words)))
+    fp, size, sketch = np.array([m[0] for m in made]).view(np.uint64), np.array([m[1] for m in made]), np.array([list(m[2]) for m in made], np.uint8)
+    i, j = simhash.likely_links(fp, size, sketch, 300, True, columns=64)
+    more = simhash.likely_links(fp[300:], size[300:], sketch[300:], 400, True)
+    joined = simhash._Joined(700)
+    joined.join(np.concatenate([i, more[0] + 300]), np.concatenate([j, more[1] + 300]))
+    assert len(i) < 2 * 700 and len(set(joined.label.tolist())) == 1
 
 
 @pytest.mark.parametrize("chunk", [3, 1 << 15])
