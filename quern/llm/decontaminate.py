@@ -9,8 +9,9 @@ the shingle's place in it, the only start it can have; starts that leave the doc
 The index goes to every executor in blocks of at most BLOCK_BYTES of item text, one after the other over the same rows,
 so its size is bounded however large the benchmark is; documents are never shuffled.
 
-Null text has no words, and so has no hits; null items have no window. Items of equal text count each by their id;
-repeated rows of documents each get a row. Other columns pass through, and those named like a result are replaced.
+Null text has no words, and so has no hits; items of null text have no window. Items of equal text count each by their
+id; an item of null id has windows that hit, but no id to list. Repeated rows of items count once, repeated rows of
+documents each get a row. Other columns pass through, and those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[int, int, _Words]]:
 class Items:
     """A block of items: its distinct windows, who has them, and their shingles."""
 
-    def __init__(self, ids: list[str], texts: list[str | None], window: int, shingle: int) -> None:
+    def __init__(self, ids: list[str | None], texts: list[str | None], window: int, shingle: int) -> None:
         self.owners: dict[bytes, set[str]] = defaultdict(set)
         inner: dict[bytes, tuple[np.ndarray, int]] = {}
         for row_0, _, w in _chunks(pa.array(texts, pa.string())):
@@ -85,7 +86,7 @@ class Items:
                 n = min(window, hi - lo)
                 for at in range(lo, hi - n + 1) if n else ():
                     text = w.run(at, n)
-                    self.owners[text].add(ids[row])
+                    self.owners[text] |= {ids[row]} - {None}
                     if text not in inner:
                         inner[text] = (w.hash[at : at + n], n)
         self.windows = list(self.owners)
@@ -184,12 +185,12 @@ def decontaminate(df: DataFrame, items: DataFrame, text: str = "text", item_id:
     small_batches(df.sparkSession)
     size = items.agg(F.sum(F.octet_length(F.col(f"`{item_text}`")))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    named = items.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{item_text}`").alias("text")).where("text IS NOT NULL AND id IS NOT NULL")
+    named = items.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{item_text}`").alias("text")).where("text IS NOT NULL").distinct()
     rest = [c for c in df.columns if c not in RESULT and (keep_text or c != text)]
     rows = df.select(F.struct(F.lit(0).alias("__none"), *(F.col(f"`{c}`") for c in rest if c != text)).alias("meta"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = rows.withColumns({"_words": F.lit(None).cast("long"), "_hits": F.lit(None).cast("array<int>"), "_items": F.lit(None).cast("array<string>")})
     for k in range(blocks):
-        part = named.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).collect()  # about block_bytes of text
+        part = named.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()  # about block_bytes of text
         block = Items([r["id"] for r in part], [r["text"] for r in part], window, shingle)
         if block.windows or k == 0:
             rows = _scan(rows, "text", block, block.index(_frequencies(df, text, block.distinct())))

@@ -8,7 +8,8 @@ itself.
 
 Only the counts of the cells (a constant number) reach the driver; rows are ranked within a cell, and a cell's ranks are
 dealt to shards as whole ranges, so a row's shard and slot follow from its cell and rank. Null keys hash like any value
-and repeated keys are spread by rank within their cell; an empty table gives an empty result.
+and repeated keys are spread by rank within their cell; rows that are equal in all columns are ranked in one group. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from quern.llm.shared import table
 
 CELLS = 4096
+PARTS = 8
 VNODES = 64
 SHARDS = 8
 
@@ -70,17 +72,42 @@ def shard_of_key(key: Column, shards: int, vnodes: int = VNODES, cells: int = CE
     return _lookup([h[0] for h in homes(shards, vnodes, cells)], F.pmod(F.xxhash64(key), F.lit(cells)).cast("int"))
 
 
-def shard_rows(df: DataFrame, key: str, shards: int = SHARDS, vnodes: int = VNODES, cells: int = CELLS) -> DataFrame:
-    """df with ``shard`` and ``slot`` under the law ``rows``. Columns of these names are replaced."""
+def _pieces(plan: list[tuple[int, int, int, int, int]], counts: dict[tuple[int, int], int]) -> list[tuple[int, int, int, int, int, int]]:
+    """The plan's ranges of a cell's ranks as ranges of ranks within its parts: (cell, part, first rank, end rank, shard, first slot)."""
+    parts: dict[int, list[tuple[int, int, int]]] = {}
+    for (cell, part), n in sorted(counts.items()):
+        at = parts.setdefault(cell, [])
+        start = at[-1][2] if at else 0
+        at.append((part, start, start + n))
+    out = []
+    for cell, lo, hi, shard, slot in plan:
+        for part, start, end in parts[cell]:
+            a, b = max(lo, start), min(hi, end)
+            if a < b:
+                out.append((cell, part, a - start, b - start, shard, slot + a - lo))
+    return out
+
+
+def shard_rows(df: DataFrame, key: str, shards: int = SHARDS, vnodes: int = VNODES, cells: int = CELLS, parts: int = PARTS) -> DataFrame:
+    """df with ``shard`` and ``slot`` under the law ``rows``. Columns of these names are replaced.
+
+    A cell's rows are ranked in ``parts`` parts by a hash of their content, so a key that many rows share doesn't make
+    one large group. Rows that differ in columns without an order (maps) alone rank as they come.
+    """
     spark = df.sparkSession
-    rest = [F.col(f"`{c}`") for c in df.columns if c not in ("shard", "slot")]
+    names = [c for c in df.columns if c not in ("shard", "slot")]
+    kinds = dict(df.dtypes)
+    told = [F.col(f"`{c}`") for c in names if not any(x in kinds[c] for x in ("map<", "variant", "geometry", "geography"))]
     h = F.xxhash64(F.col(f"`{key}`"))
-    keyed = df.select(F.struct(*rest).alias("row"), h.alias("h"), F.pmod(h, F.lit(cells)).cast("int").alias("cell"))
-    counts = {r["cell"]: r["n"] for r in keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``cells`` rows
-    plan = spark.createDataFrame(deal(counts, shards, vnodes, cells), "cell int, lo long, hi long, shard int, first long")
-    ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy("h", "row")).cast("long") - 1)
-    # at most cells * shards rows
-    return ranked.join(F.broadcast(plan), "cell").where("rank >= lo AND rank < hi").select("row.*", "shard", (F.col("first") + F.col("rank") - F.col("lo")).alias("slot"))
+    keyed = df.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.struct(*told).alias("told"), h.alias("h"), F.pmod(h, F.lit(cells)).cast("int").alias("cell"), F.pmod(F.xxhash64(F.lit(3), *told), F.lit(parts)).cast("int").alias("part"))
+    counts = {(r["cell"], r["part"]): r["n"] for r in keyed.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most cells * parts rows
+    of_cells: dict[int, int] = {}
+    for (cell, _), n in counts.items():
+        of_cells[cell] = of_cells.get(cell, 0) + n
+    plan = spark.createDataFrame(_pieces(deal(of_cells, shards, vnodes, cells), counts), "cell int, part int, lo long, hi long, shard int, first long")
+    ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("cell", "part").orderBy("h", "told")).cast("long") - 1)
+    # at most cells * (parts + shards) rows
+    return ranked.join(F.broadcast(plan), ["cell", "part"]).where("rank >= lo AND rank < hi").select("row.*", "shard", (F.col("first") + F.col("rank") - F.col("lo")).alias("slot"))
 
 
 def op7_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

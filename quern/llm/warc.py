@@ -26,9 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.shared import materialize, settings, table
+from quern.llm.shared import materialize, settings, shuffle_partitions, table
 
 ARCHIVE_BYTES = 4 << 20
+MERGED = 100_000  # records that a task merges
 FIRST_CAPTURE = datetime(2024, 1, 1, tzinfo=timezone.utc)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CAPTURE = T.StructType([T.StructField(n, t) for n, t in (("url_key", T.StringType()), ("captured_at", T.StringType()), ("offset", T.LongType()), ("length", T.LongType()))])
@@ -78,9 +79,9 @@ def parse(member: bytes) -> tuple[dict[str, str], int, bytes]:
 
 def write_archives(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Rows (archive, data, run) of pages (page_id, url, html), written to the scratch folder."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha1("html"))
-    first = rows.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL").select("sha", "first")
-    told = rows.join(first, "sha", "left").select("page_id", "url", "html", "first")
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumns({"sha": F.sha1("html"), "size": F.octet_length("html")})
+    first = rows.where(F.col("size") >= min_bytes).groupBy("sha", "size").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL").select("sha", "size", "first")
+    told = rows.join(first, ["sha", "size"], "left").select("page_id", "url", "html", "first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, data, run = TaskContext.get().partitionId(), 0, bytearray(), []
@@ -161,8 +162,13 @@ def read_archives(archives: DataFrame) -> DataFrame:
         return materialize(archives.mapInArrow(read, _RECORD))
 
 
-def history(records: DataFrame) -> DataFrame:
-    """Records in order of URL key and time: runs are dealt by ranges of both, and each range's runs are merged."""
+def history(records: DataFrame, most: int = MERGED) -> DataFrame:
+    """Records in order of URL key and time: runs are dealt by ranges of both, and each range's runs are merged.
+
+    There are as many ranges as keep about ``most`` records in each, whatever one URL's share is, for archive and place
+    tell its captures apart; a range's records come sorted by run, so what a task holds doesn't grow with the data.
+    """
+    ranges = max(shuffle_partitions(records.sparkSession), -(-records.count() // most))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs: dict[str, list[tuple]] = {}
@@ -171,9 +177,6 @@ def history(records: DataFrame) -> DataFrame:
             kinds = batch.schema
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 runs.setdefault(row[0], []).append((row[2], row[3], row[0], row[1], row))
-        for run in runs.values():
-            if any(a > b for a, b in zip(run, run[1:])):  # a shuffle may deliver a run's blocks out of order
-                run.sort(key=lambda r: r[:4])
         held = []
         for *_, row in LoserTree([runs[k] for k in sorted(runs)]):
             held.append(row)
@@ -183,7 +186,7 @@ def history(records: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*held), kinds)], schema=kinds)
 
-    return records.repartitionByRange("url_key", "captured_at", "archive", "place").mapInArrow(merge, _RECORD)
+    return records.repartitionByRange(ranges, "url_key", "captured_at", "archive", "place").sortWithinPartitions("archive", "place").mapInArrow(merge, _RECORD)
 
 
 def export(archives: DataFrame, folder: str) -> int:
