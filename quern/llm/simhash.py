@@ -46,7 +46,8 @@ SIMILAR_SHINGLE = 5
 WIDE = 20
 BINS = 128
 LIKELY, SURE = 0.7, 0.84  # by sketches
-SIMILAR_CHUNK = 1 << 13
+SIMILAR_CHUNK = 1 << 15
+SENT = 1 << 20  # links whose ends are sent to every executor, 24 MB; more are joined by a shuffle
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -294,8 +295,8 @@ def _signatures(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, f"row long, id {kind}, fp long, size long, sketch binary, digest binary")
 
 
-def similar_links(nodes: DataFrame, texts: DataFrame, least: float = SIMILAR, radius: int = WIDE, shingle: int = SIMILAR_SHINGLE, chunk: int = SIMILAR_CHUNK) -> DataFrame:
-    """(a, b): ids of nodes (id, fp, size, sketch) whose texts (id, text) are similar: a forest of them, each checked."""
+def similar_links(nodes: DataFrame, texts: DataFrame, least: float = SIMILAR, radius: int = WIDE, shingle: int = SIMILAR_SHINGLE, chunk: int = SIMILAR_CHUNK, sent: int = SENT) -> tuple[DataFrame, str]:
+    """(a, b): ids of nodes (id, fp, size, sketch) whose texts (id, text) are similar: a forest of them, each checked. And where they are stored."""
 
     def link(group: pa.Table) -> pa.Table:
         home = group.column("home").to_numpy()
@@ -308,17 +309,22 @@ def similar_links(nodes: DataFrame, texts: DataFrame, least: float = SIMILAR, ra
 
     width = float(-np.log(least))
     tiles = nodes.where("size > 0").select("id", "fp", "size", "sketch", F.floor(F.log(F.col("size").cast("double")) / width).cast("int").alias("tile"))
-    found = _in_chunks(tiles, [1], chunk).groupBy("tile", "part", "slice").applyInArrow(link, "a long, b long")
+    found, at = store(_in_chunks(tiles, [1], chunk).groupBy("tile", "part", "slice").applyInArrow(link, "a long, b long"))
+    few = found.count() <= sent
+    ends = found.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
+    said = texts.join(F.broadcast(ends) if few else ends, "id").select("a", "b", (F.col("id") == F.col("a")).alias("first"), "text")
 
     @F.pandas_udf("double")
     def alike(x, y):
         return x.combine(y, lambda p, q: similarity(p, q, shingle)).astype("float64")
 
-    pairs = found.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-    return pairs.where(alike("x", "y") >= least).select("a", "b")
+    pairs = said.groupBy("a", "b").agg(F.max(F.when(F.col("first"), F.col("text"))).alias("x"), F.max(F.when(~F.col("first"), F.col("text"))).alias("y"))
+    out = store(pairs.where(alike("x", "y") >= least).select("a", "b"))
+    remove(nodes.sparkSession, at)
+    return out
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILAR, radius: int = WIDE, shingle: int = SIMILAR_SHINGLE, chunk: int = SIMILAR_CHUNK) -> DataFrame:
+def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILAR, radius: int = WIDE, shingle: int = SIMILAR_SHINGLE, chunk: int = SIMILAR_CHUNK, sent: int = SENT) -> DataFrame:
     """The rows of df without near-duplicates: of each class of similar texts, the row with the smallest id (null ids last) stays.
 
     Classes are those that links between texts of similarity ``least`` or more make; texts of the same words are alike.
@@ -330,7 +336,7 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text", least:
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
     nodes, at_nodes = store(prints.groupBy("digest").agg(best, F.any_value("fp").alias("fp"), F.any_value("size").alias("size"), F.any_value("sketch").alias("sketch")).select("first", F.col("first.row").alias("id"), "fp", "size", "sketch"))
     texts = rows.select(F.col("row").alias("id"), F.col(f"of.`{text}`").alias("text"))
-    links, at_links = store(similar_links(nodes.select("id", "fp", "size", "sketch"), texts, least, radius, shingle, chunk))
+    links, at_links = similar_links(nodes.select("id", "fp", "size", "sketch"), texts, least, radius, shingle, chunk, sent)
     found = components(links)
     stays, _ = store(nodes.join(found, "id", "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("row")))
     for path in (at_prints, at_nodes, at_links):

@@ -198,8 +198,8 @@ def test_similar_texts(spark, sf_dir):
         for i, j in alike:
             least[ids[i]] = least[ids[j]] = min(least[ids[i]], least[ids[j]])
     df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").withColumns({c: F.lit("x") for c in CLASHING})
-    for chunk in (1 << 13, 20):
-        kept = sorted(r.doc_id for r in simhash.keep_first(df, chunk=chunk).collect())
+    for settings in ({}, {"chunk": 20, "sent": 0}):
+        kept = sorted(r.doc_id for r in simhash.keep_first(df, **settings).collect())
         assert kept == sorted(set(least.values()))
     twice = simhash.keep_first(df.union(df))
     assert sorted(r.doc_id for r in twice.collect()) == kept and twice.columns == df.columns
