@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import secrets
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ from quern.model import DEFAULT_KINDS, IMPACT_KINDS
 from quern.operators import context, facts, graph, intervals, pages, search, snapshots, workflow
 from quern.plans.fixture import Fixture
 
+CURSOR_SECONDS = 15 * 60
 REFERENCE_KINDS = {"references": ("incoming", ["references", "calls"]), "implements": ("incoming", ["implements"]), "type-definition": ("outgoing", ["references"])}
 
 
@@ -37,27 +40,57 @@ class Store:
     def append(self, name: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(f"{self.root}/{name}")
 
+    def _folder(self) -> tuple[object, object]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/active")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _pointer(self) -> tuple[int, int | None]:
+        """How many times the pointer moved, and where it points."""
+        files, folder = self._folder()
+        names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+        moves = sorted(tuple(map(int, n.split("-"))) for n in names if n.replace("-", "").isdigit())
+        return moves[-1] if moves else (0, None)
+
+    def recover(self) -> None:
+        """Gives up a move of the pointer that a writer began and never ended. For when no writer is at work."""
+        files, folder = self._folder()
+        files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(folder, f"{self._pointer()[0] + 1:012d}.lock"), False)
+
     def publish(self, members: DataFrame, generation: int, expected: int | None) -> None:
-        """Adds a generation's units and makes it the active one, if ``expected`` still is."""
-        if self.active() != expected:
-            raise workflow.Conflict(f"generation {self.active()} is active, expected {expected}")
-        self.append("generation_units", members.withColumn("generation_id", F.lit(generation)))
-        self.spark.createDataFrame([(generation,)], "generation_id int").coalesce(1).write.mode("append").parquet(f"{self.root}/active")
+        """Adds a generation's units and makes it the active one, if ``expected`` still is.
+
+        The units are written as a whole under the generation's name, so one that is already there, after a crash or for
+        a way back, stays as it is. Then the pointer moves by making the file of the next move, which only one writer
+        can; the file system must refuse to make a file that exists.
+        """
+        moves, now = self._pointer()
+        if now != expected:
+            raise workflow.Conflict(f"generation {now} is active, expected {expected}")
+        try:
+            members.withColumn("generation_id", F.lit(generation)).write.partitionBy("generation_id").mode("append" if self._absent(generation) else "ignore").parquet(f"{self.root}/generation_units")
+        finally:
+            self.spark.catalog.refreshByPath(f"{self.root}/generation_units")
+        files, folder = self._folder()
+        files.mkdirs(folder)
+        mine = self.spark._jvm.org.apache.hadoop.fs.Path(folder, f"{moves + 1:012d}.lock")
+        if not files.createNewFile(mine):
+            raise workflow.Conflict(f"another writer moves the pointer from generation {now}, or broke off and left that to recover()")
+        files.createNewFile(self.spark._jvm.org.apache.hadoop.fs.Path(folder, f"{moves + 1:012d}-{generation}"))
+
+    def _absent(self, generation: int) -> bool:
+        files, folder = self._folder()
+        return not files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/generation_units/generation_id={generation}"))
 
     def active(self) -> int | None:
-        try:
-            return self.spark.read.schema("generation_id int").parquet(f"{self.root}/active").agg(F.max("generation_id")).first()[0]
-        except Exception as e:  # no generation was ever published
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
+        return self._pointer()[1]
 
 
 class Engine:
     """Queries pinned to one generation of a store (or of the star-schema fixture)."""
 
-    def __init__(self, store: Store | Fixture, generation: int, secret: bytes = b"quern") -> None:
-        self.store, self.generation, self.secret = store, generation, secret
+    def __init__(self, store: Store | Fixture, generation: int, secret: bytes | None = None) -> None:
+        """secret signs cursors; without one, cursors hold for this object only."""
+        self.store, self.generation, self.secret = store, generation, secret or secrets.token_bytes(32)
         self.spark: SparkSession = store.spark
 
     def _pinned(self, name: str) -> DataFrame:
@@ -65,7 +98,9 @@ class Engine:
 
     @property
     def nodes(self) -> DataFrame:
-        return self._pinned("nodes")
+        """One row a node: where several units have it, that of the first unit."""
+        found = self._pinned("nodes")
+        return facts.prefer(found, ["node_id"], [F.col("unit_id"), F.col("kind"), F.coalesce("file_id", F.lit("")), F.coalesce("start_byte", F.lit(-1))])
 
     @property
     def relations(self) -> DataFrame:
@@ -77,7 +112,7 @@ class Engine:
 
     @property
     def docs(self) -> DataFrame:
-        return self.store.docs
+        return self._pinned("docs")
 
     def _seeds(self, names: list[str]) -> DataFrame:
         """Node ids of names: an id as it is, else a name or qualified name that stands for one node only."""
@@ -97,6 +132,14 @@ class Engine:
         docs = docs.where(facts.in_kinds("language", list(languages))) if languages else docs
         return search.search(docs, query, pages.clamp(limit)[0])
 
+    def search_page(self, query: str, limit: int = 0, cursor: str | None = None, paths: list[str] = (), languages: list[str] = ()) -> tuple[DataFrame, str | None]:
+        """A page of all results of a search, best first, and the cursor of the next, None after the last."""
+        docs = self.docs.where(facts.under_paths("path", list(paths)))
+        docs = docs.where(facts.in_kinds("language", list(languages))) if languages else docs
+        found = search.search(docs, query, None).withColumn("rank", -F.col("score_micros"))
+        rows, nxt = self.page(found, ["tier", "rank", "path", "node_id"], limit, cursor, query=query, paths=list(paths), languages=list(languages))
+        return rows.drop("rank"), nxt
+
     def symbol(self, query: str, definitions: bool = False) -> DataFrame:
         return search.resolve(facts.declarations(self.nodes) if definitions else self.nodes, query)
 
@@ -155,7 +198,7 @@ class Engine:
         after = pages.opened(self.secret, cursor, **about)["after"] if cursor else None
         rows = pages.keyset(df, keys, after, size + 1).collect()
         more = rows[size - 1] if len(rows) > size else None
-        nxt = None if more is None else pages.sign(self.secret, about | {"after": [more[k] for k in keys], "expires": 1 << 40})
+        nxt = None if more is None else pages.sign(self.secret, about | {"after": [more[k] for k in keys], "expires": int(time.time()) + CURSOR_SECONDS})
         return self.spark.createDataFrame(rows[:size], df.schema), nxt
 
     def export(self, lists: dict[str, DataFrame], folder: str) -> None:
@@ -170,7 +213,7 @@ class Engine:
         checks: dict[str, tuple[DataFrame, str]] = {
             "orphans": (self.relations.join(ids, F.col("from_node_id") == ids.node_id, "left_anti"), "rebuild the unit"),
             "dangling": (self.relations.join(ids, F.col("to_node_id") == ids.node_id, "left_anti"), "rebuild the unit"),
-            "duplicates": (self.nodes.groupBy("node_id").count().where("count > 1"), "keep the preferred unit's fact"),
+            "duplicates": (self._pinned("nodes").groupBy("node_id").count().where("count > 1"), "keep the preferred unit's fact"),
         }
         out = None
         for name, (rows, remedy) in checks.items():

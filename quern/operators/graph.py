@@ -6,9 +6,11 @@ shared folder, so plans stay short. Only frontiers move: the edge table is read,
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.model import MICROS, edge_cost
@@ -66,15 +68,28 @@ def impact(relations: DataFrame, seeds: DataFrame, kinds: list[str], max_depth:
     return folded.select("node_id", score.alias("score_micros"), "b.cost", "b.depth", F.col("b.relation_id").alias("via"), "incoming", F.array_join("reasons", " ").alias("reasons"))
 
 
-def distances(relations: DataFrame, source: DataFrame, kinds: list[str], direction: str = "outgoing", max_hops: int = 64) -> DataFrame:
+class Truncated(RuntimeError):
+    """A bound that the caller asked for was reached before the search had ended."""
+
+
+def _rounds(most: int | None, what: str) -> Iterator[int]:
+    """1, 2, ... as long as the loop goes on; with a bound, an error if it goes on beyond that."""
+    for n in itertools.count(1):
+        if most is not None and n > most:
+            raise Truncated(f"{what}: more than {most}")
+        yield n
+
+
+def distances(relations: DataFrame, source: DataFrame, kinds: list[str], direction: str = "outgoing", max_hops: int | None = None) -> DataFrame:
     """(node, dist, hops): the cheapest way from any source, and the fewest relations among the cheapest.
 
-    Only nodes that got better in a round are relaxed in the next.
+    Only nodes that got better in a round are relaxed in the next, until none did. A bound that cuts this short raises
+    Truncated: a node that wasn't reached is never taken for one without a way.
     """
     edges = adjacency(relations.where(in_kinds("kind", kinds)), direction).select("node", "neighbour", edge_cost(F.col("kind")).alias("step"))
     settled = cut(source.select("node").distinct().select("node", F.lit(0).cast("long").alias("dist"), F.lit(0).alias("hops")))
     active = settled
-    for _ in range(max_hops):
+    for _ in _rounds(None if max_hops is None else max_hops + 1, "hops"):
         out = edges.join(active, "node").groupBy(F.col("neighbour").alias("node")).agg(F.min(F.struct((F.col("dist") + F.col("step")).alias("dist"), (F.col("hops") + 1).alias("hops"))).alias("n"))
         old = settled.select("node", F.struct("dist", "hops").alias("o"))
         active = cut(out.join(old, "node", "left").where("o IS NULL OR n < o").select("node", "n.dist", "n.hops"))
@@ -84,8 +99,13 @@ def distances(relations: DataFrame, source: DataFrame, kinds: list[str], directi
     return settled
 
 
-def routes(relations: DataFrame, source: DataFrame, target: str, kinds: list[str], most: int = 8, max_hops: int = 64) -> DataFrame:
-    """(route, cost): all cheapest routes to the target, as relation ids from the source, the first ``most`` in order."""
+def routes(relations: DataFrame, source: DataFrame, target: str, kinds: list[str], most: int = 8, max_hops: int | None = None) -> DataFrame:
+    """(route, cost): the cheapest routes to the target, as relation ids from the source, the first ``most`` in order.
+
+    Routes grow from the target. Of those that come to the same node only the ``most`` least go on, for what is put
+    before them is the same; so a grid of equal routes isn't listed.
+    """
+    least = Window.partitionBy("node").orderBy("route")
     dist = cut(distances(relations, source, kinds, "outgoing", max_hops))
     edges = relations.where(in_kinds("kind", kinds)).select("relation_id", F.col("from_node_id").alias("up"), F.col("to_node_id").alias("node"), edge_cost(F.col("kind")).alias("step"))
     up = dist.select(F.col("node").alias("up"), F.col("dist").alias("up_dist"))
@@ -93,20 +113,22 @@ def routes(relations: DataFrame, source: DataFrame, target: str, kinds: list[str
     goal = dist.where(F.col("node") == target)
     open_ = goal.select("node", F.array().cast("array<string>").alias("route"), F.col("dist").alias("cost"))
     starts, done = source.select("node").distinct(), None
-    for _ in range(max_hops):
+    while True:  # a step back is a step nearer to the source
         ended = open_.join(starts, "node", "left_semi").select("route", "cost")
         done = ended if done is None else done.unionByName(ended)
-        open_ = cut(open_.join(starts, "node", "left_anti").join(parents, "node").select(F.col("up").alias("node"), F.concat(F.array("relation_id"), "route").alias("route"), "cost"))
+        grown = open_.join(starts, "node", "left_anti").join(parents, "node").select(F.col("up").alias("node"), F.concat(F.array("relation_id"), "route").alias("route"), "cost")
+        open_ = cut(grown.withColumn("n", F.row_number().over(least)).where(F.col("n") <= most).drop("n"))
         if open_.isEmpty():
             break
     return done.orderBy("route").limit(most)
 
 
-def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """All (a, b) with a way from a to b over edges (a, b), by semi-naive rounds: only new pairs are extended."""
+def closure(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """All (a, b) with a way from a to b over edges (a, b), by semi-naive rounds: only new pairs are extended, until
+    there are none. A bound that cuts this short raises Truncated."""
     known = new = cut(edges.select("a", "b").distinct())
     step = edges.select(F.col("a").alias("m"), F.col("b").alias("c")).distinct()
-    for _ in range(max_rounds):
+    for _ in _rounds(None if max_rounds is None else max_rounds + 1, "rounds"):
         more = new.join(step, new.b == step.m).select("a", F.col("c").alias("b")).distinct()
         new = cut(more.join(known, ["a", "b"], "left_anti"))
         if new.isEmpty():
@@ -115,10 +137,10 @@ def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     return known
 
 
-def overview(nodes: DataFrame, relations: DataFrame, kinds: tuple[str, ...] = ("repository", "directory", "package", "module", "namespace"), max_depth: int = 16) -> DataFrame:
+def overview(nodes: DataFrame, relations: DataFrame, kinds: tuple[str, ...] = ("repository", "directory", "package", "module", "namespace")) -> DataFrame:
     """(node_id, kind, name, parent, depth, children): containers under their least claimant, roots at depth 0.
 
-    Chains that never come to a root within max_depth, as in a cycle, are left out.
+    Chains that never come to a root, as in a cycle, are left out.
     """
     held = nodes.where(F.col("kind").isin(*kinds)).select("node_id", "kind", "name")
     inner = held.select("node_id")
@@ -126,7 +148,7 @@ def overview(nodes: DataFrame, relations: DataFrame, kinds: tuple[str, ...] = ("
     with_parent = cut(held.join(claims, "node_id", "left"))
     level = with_parent.where("parent IS NULL").select("node_id", F.lit(0).alias("depth"))
     depths = level = cut(level)
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         level = cut(with_parent.join(level.select(F.col("node_id").alias("parent")), "parent").select("node_id", F.lit(depth).alias("depth")))
         if level.isEmpty():
             break

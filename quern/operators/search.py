@@ -103,10 +103,10 @@ def tier(query: str, path: str = "path", qualified: str = "qualified_name", name
     return out.when(F.col(qualified) == query, 1).when(F.col(qualified).startswith(query), 2).when(F.col(name) == query, 3)
 
 
-def search(docs: DataFrame, query: str, limit: int = 200) -> DataFrame:
+def search(docs: DataFrame, query: str, limit: int | None = 200) -> DataFrame:
     """(node_id, tier, score_micros, occurrences, path): exact tiers and the lexical one, folded by node, best first.
 
-    A node keeps its least tier, its largest score and all its occurrences.
+    A node keeps its least tier, its largest score and all its occurrences. Without a limit all results come, unordered.
     """
     exact = docs.withColumn("tier", tier(query)).where("tier IS NOT NULL").select("node_id", "tier", F.lit(0).cast("long").alias("score_micros"), F.lit(0).cast("long").alias("occurrences"), "path")
     units = parse(query)
@@ -114,7 +114,7 @@ def search(docs: DataFrame, query: str, limit: int = 200) -> DataFrame:
         lexical = docs.select("doc_id", "node_id", "path").join(bm25(docs, units), "doc_id").select("node_id", F.lit(4).alias("tier"), "score_micros", F.col("occurrences").cast("long").alias("occurrences"), "path")
         exact = exact.unionByName(lexical)
     folded = exact.groupBy("node_id").agg(F.min("tier").alias("tier"), F.max("score_micros").alias("score_micros"), F.sum("occurrences").alias("occurrences"), F.min("path").alias("path"))
-    return folded.orderBy("tier", F.desc("score_micros"), "path", "node_id").limit(limit)
+    return folded if limit is None else folded.orderBy("tier", F.desc("score_micros"), "path", "node_id").limit(limit)
 
 
 def resolve(nodes: DataFrame, query: str, limit: int = 200) -> DataFrame:

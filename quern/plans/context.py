@@ -63,5 +63,5 @@ def context_plan(x: Fixture) -> DataFrame:
 @query()
 def context_packing(x: Fixture) -> DataFrame:
     """Each file's evidence as the entries of one plan, packed in order."""
-    entries = x.evidence.where("unit_id = 'parts'").select("file_id", "id", (F.length("relation_id") * 3).cast("long").alias("bytes"), F.length("relation_id").cast("long").alias("tokens"))
+    entries = x.evidence.select("file_id", "id", (F.length("relation_id") * 3).cast("long").alias("bytes"), F.length("relation_id").cast("long").alias("tokens"))
     return op.slices(entries, "file_id", ["id"], 400, 120)

@@ -36,9 +36,9 @@ def evidenced_relations(x: Fixture) -> DataFrame:
     return x.relations.join(x.evidence, "relation_id", "left_semi").groupBy("kind").agg(F.max("relation_id").alias("last"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT relation_id, kind FROM relations r ANTI JOIN evidence e USING (relation_id) WHERE kind <> 'defines'")
+@query("SELECT relation_id, kind FROM relations r ANTI JOIN evidence e USING (relation_id)")
 def unevidenced_relations(x: Fixture) -> DataFrame:
-    return x.relations.where("kind <> 'defines'").join(x.evidence, "relation_id", "left_anti").select("relation_id", "kind")
+    return x.relations.join(x.evidence, "relation_id", "left_anti").select("relation_id", "kind")
 
 
 @query("""WITH p AS (SELECT relation_id, precision_name, file_id, unit_id, row_number() OVER (PARTITION BY relation_id ORDER BY CASE precision_name WHEN 'compiler' THEN 0 WHEN 'static_analysis' THEN 1 ELSE 2 END, unit_id, id) AS n, id FROM evidence)
@@ -102,9 +102,9 @@ def evidence_count(x: Fixture) -> DataFrame:
     return op.evidence_counts(x.evidence).withColumn("evidence_count", F.col("evidence_count").cast("long"))
 
 
-@query("SELECT relation_id, id, n FROM (SELECT relation_id, id, row_number() OVER (PARTITION BY relation_id ORDER BY id)::INT AS n FROM evidence WHERE starts_with(relation_id, 'references')) WHERE n <= 3")
+@query("SELECT relation_id, id, n FROM (SELECT relation_id, id, row_number() OVER (PARTITION BY relation_id ORDER BY id)::INT AS n FROM evidence) WHERE n <= 3")
 def evidence_topn(x: Fixture) -> DataFrame:
-    return op.first_evidence(x.evidence.where(op.prefix("relation_id", "references")), 3).select("relation_id", "id", "n")
+    return op.first_evidence(x.evidence, 3).select("relation_id", "id", "n")
 
 
 @query("SELECT relation_id, count(*) AS dropped FROM (SELECT relation_id, row_number() OVER (PARTITION BY relation_id ORDER BY id) AS n FROM evidence) WHERE n > 2 GROUP BY relation_id")
@@ -237,9 +237,9 @@ def batch_read(x: Fixture) -> DataFrame:
     return pages.batch(x.nodes.select("node_id", "name", "qualified_name"), "node_id", ["class:1", "class:2", "class:2", "nobody"])
 
 
-@query("SELECT relation_id, page, first_in_page FROM (SELECT relation_id, page, (row_number() OVER (PARTITION BY page ORDER BY relation_id))::INT = 1 AS first_in_page FROM (SELECT relation_id, ((sum(n) OVER (ORDER BY relation_id ROWS UNBOUNDED PRECEDING) - n) // 200)::BIGINT AS page FROM (SELECT relation_id, count(*) AS n FROM evidence WHERE starts_with(relation_id, 'references:1') GROUP BY relation_id)))")
+@query("SELECT relation_id, page, first_in_page FROM (SELECT relation_id, page, (row_number() OVER (PARTITION BY page ORDER BY relation_id))::INT = 1 AS first_in_page FROM (SELECT relation_id, ((sum(n) OVER (ORDER BY relation_id ROWS UNBOUNDED PRECEDING) - n) // 200)::BIGINT AS page FROM (SELECT relation_id, count(*) AS n FROM evidence GROUP BY relation_id)))")
 def reference_pages(x: Fixture) -> DataFrame:
-    counts = op.evidence_counts(x.evidence.where(op.prefix("relation_id", "references:1")))
+    counts = op.evidence_counts(x.evidence)
     return pages.whole_groups(counts, "relation_id", "evidence_count", 200)
 
 
@@ -251,9 +251,9 @@ def set_operations(x: Fixture) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("either"), F.count_if(F.expr("a = 1 AND b = 1")).alias("both_sides"), F.count_if(F.expr("a = 0 AND b = 1")).alias("only_b"))
 
 
-@query("SELECT node_id, sha256(unhex(lpad(to_hex(strlen('node-v1')), 16, '0')) || encode('node-v1') || unhex(lpad(to_hex(strlen(kind)), 16, '0')) || encode(kind) || unhex(lpad(to_hex(strlen(qualified_name)), 16, '0')) || encode(qualified_name)) AS id FROM nodes WHERE kind <> 'method'")
+@query("SELECT node_id, sha256(unhex(lpad(to_hex(strlen('node-v1')), 16, '0')) || encode('node-v1') || unhex(lpad(to_hex(strlen(kind)), 16, '0')) || encode(kind) || unhex(lpad(to_hex(strlen(qualified_name)), 16, '0')) || encode(qualified_name)) AS id FROM nodes")
 def framed_ids(x: Fixture) -> DataFrame:
-    return x.nodes.where("kind <> 'method'").select("node_id", framed("node-v1", F.col("kind"), F.col("qualified_name")).alias("id"))
+    return x.nodes.select("node_id", framed("node-v1", F.col("kind"), F.col("qualified_name")).alias("id"))
 
 
 @query("SELECT from_node_id, sha256(string_agg(to_node_id, chr(10) ORDER BY to_node_id)) AS digest, count(*) AS n FROM relations WHERE kind = 'references' GROUP BY from_node_id")

@@ -42,8 +42,8 @@ UNION ALL SELECT 'r' || l_orderkey || '.' || l_linenumber, 'parts', 'references:
 #: Generation 2 is pinned; the units of two years are carried from generation 1, and those of another are gone.
 GENERATION_UNITS = """
 SELECT 2 AS generation_id, unit_id, unit_id IN ('orders-1996', 'orders-1997') AS carried, CASE WHEN unit_id IN ('orders-1996', 'orders-1997') THEN 1 ELSE 0 END AS distance_generations
-FROM (SELECT DISTINCT 'orders-' || year(o_orderdate) AS unit_id FROM orders UNION ALL SELECT 'geo' UNION ALL SELECT 'suppliers' UNION ALL SELECT 'customers' UNION ALL SELECT 'parts') AS u WHERE unit_id <> 'orders-1995'
-UNION ALL SELECT 1, unit_id, false, 0 FROM (SELECT DISTINCT 'orders-' || year(o_orderdate) AS unit_id FROM orders UNION ALL SELECT 'geo' UNION ALL SELECT 'suppliers' UNION ALL SELECT 'customers') AS u
+FROM (SELECT DISTINCT 'orders-' || year(o_orderdate) AS unit_id FROM orders UNION ALL SELECT 'geo' UNION ALL SELECT 'suppliers' UNION ALL SELECT 'customers' UNION ALL SELECT 'parts' UNION ALL SELECT DISTINCT lang FROM documents) AS u WHERE unit_id <> 'orders-1995'
+UNION ALL SELECT 1, unit_id, false, 0 FROM (SELECT DISTINCT 'orders-' || year(o_orderdate) AS unit_id FROM orders UNION ALL SELECT 'geo' UNION ALL SELECT 'suppliers' UNION ALL SELECT 'customers' UNION ALL SELECT DISTINCT lang FROM documents WHERE lang <> 'fr') AS u
 """
 
 DOCS = "SELECT doc_id, 'doc:' || doc_id AS node_id, lang AS unit_id, lang || '/' || source || '/' || doc_id AS path, lang AS language, source AS name, source || '.' || lang || '.' || doc_id AS qualified_name, text AS body, n_chars FROM documents"

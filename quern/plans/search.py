@@ -29,10 +29,10 @@ def bm25_docs(x: Fixture) -> DataFrame:
     return op.bm25(x.docs, op.parse("the worthless SRC8 the")).select("doc_id", "score_micros", F.col("occurrences").cast("long"))
 
 
-@query(f"""WITH {_TOKENS} SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(tb || tn || tp || tq) AS term FROM c) GROUP BY term HAVING count(DISTINCT doc_id) > 20""")
+@query(f"""WITH {_TOKENS} SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(tb || tn || tp || tq) AS term FROM c) GROUP BY term""")
 def doc_frequency(x: Fixture) -> DataFrame:
     p = op.postings(x.docs)
-    return p.groupBy("term").agg(F.countDistinct("doc_id").alias("df")).where("df > 20")
+    return p.groupBy("term").agg(F.countDistinct("doc_id").alias("df"))
 
 
 @query(f"WITH {_TOKENS} SELECT count(*) AS n_docs, sum(dl)::BIGINT AS n_tokens, max(dl)::BIGINT AS longest FROM c")
@@ -40,9 +40,9 @@ def corpus_stats(x: Fixture) -> DataFrame:
     return op.with_tokens(x.docs).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("token_count").alias("n_tokens"), F.max("token_count").alias("longest"))
 
 
-@query(f"WITH {_TOKENS}, a AS (SELECT doc_id, 'body' AS col, unnest(tb) AS term FROM c UNION ALL SELECT doc_id, 'name', unnest(tn) FROM c UNION ALL SELECT doc_id, 'path', unnest(tp) FROM c UNION ALL SELECT doc_id, 'qualified_name', unnest(tq) FROM c) SELECT term, col, count(*) AS tf, count(DISTINCT doc_id) AS docs_with FROM a GROUP BY term, col HAVING count(*) >= 50")
+@query(f"WITH {_TOKENS}, a AS (SELECT doc_id, 'body' AS col, unnest(tb) AS term FROM c UNION ALL SELECT doc_id, 'name', unnest(tn) FROM c UNION ALL SELECT doc_id, 'path', unnest(tp) FROM c UNION ALL SELECT doc_id, 'qualified_name', unnest(tq) FROM c) SELECT term, col, count(*) AS tf, count(DISTINCT doc_id) AS docs_with FROM a GROUP BY term, col")
 def term_frequency(x: Fixture) -> DataFrame:
-    return op.postings(x.docs).groupBy("term", "col").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("docs_with")).where("tf >= 50")
+    return op.postings(x.docs).groupBy("term", "col").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("docs_with"))
 
 
 @query(f"WITH {_TOKENS} SELECT doc_id, n FROM (SELECT doc_id, len(list_filter(range(1, len(tb)), lambda i: tb[i] = 'of' AND tb[i + 1] = 'the')) AS n FROM c) WHERE n > 0")
@@ -69,11 +69,12 @@ def document_symbols(x: Fixture) -> DataFrame:
     return x.nodes.where("file_id = 'file:c7'").select("node_id", "kind", "name", "start_byte", "end_byte").orderBy("start_byte", "node_id")
 
 
-@query("""WITH s AS (SELECT doc_id, unnest(range(1, len(body) + 1)) AS i, body FROM docs WHERE doc_id < 100)
-SELECT doc_id, count(*) FILTER (WHERE body[i] = chr(10)) + 1 AS line_count, max(CASE WHEN i <= 500 AND body[i] = chr(10) THEN i ELSE 0 END)::BIGINT AS line_start, count(*) FILTER (WHERE i <= 500 AND body[i] = chr(10)) + 1 AS line_at_500 FROM s GROUP BY doc_id""")
+@query("""WITH d AS (SELECT doc_id, coalesce(body, '') AS body, substr(coalesce(body, ''), 1, 500) AS head FROM docs)
+SELECT doc_id, len(string_split(body, chr(10)))::BIGINT AS line_count, (length(head) - length(string_split(head, chr(10))[-1]))::BIGINT AS line_start, len(string_split(head, chr(10)))::BIGINT AS line_at_500 FROM d""")
 def line_lookup(x: Fixture) -> DataFrame:
-    """Lines of a document, and the line that character 500 is on (the nearest line start at or before it)."""
-    d = x.docs.where("doc_id < 100 AND length(body) > 0")
+    """Lines of each document, and the line that character 500 is on (the nearest line start at or before it). A null or
+    empty document has one empty line; in a shorter one its end stands for character 500."""
+    d = x.docs.select("doc_id", F.coalesce("body", F.lit("")).alias("body"))
     head = F.substring("body", 1, 500)
     before = F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))
     start = F.when(before > 0, F.length(head) - F.length(F.substring_index(head, "\n", -1))).otherwise(0)

@@ -48,11 +48,10 @@ def range_containment(x: Fixture) -> DataFrame:
     return op.contained(q, merged(x), ["conv_id"]).select("conv_id", "turn")
 
 
-@query("""SELECT e.id, arg_min(n.node_id, struct_pack(size := n.end_byte - n.start_byte, node_id := n.node_id)) AS owner, min(n.end_byte - n.start_byte) AS size FROM evidence e JOIN nodes n ON n.file_id = e.file_id AND n.start_byte <= e.start_byte AND n.end_byte >= e.end_byte WHERE e.file_id IN ('file:c1', 'file:c2', 'file:c3') GROUP BY e.id""")
+@query("""SELECT e.id, arg_min(n.node_id, struct_pack(size := n.end_byte - n.start_byte, node_id := n.node_id)) AS owner, min(n.end_byte - n.start_byte) AS size FROM evidence e JOIN nodes n ON n.file_id = e.file_id AND n.start_byte <= e.start_byte AND n.end_byte >= e.end_byte GROUP BY e.id""")
 def innermost_owner(x: Fixture) -> DataFrame:
-    files = F.col("file_id").isin("file:c1", "file:c2", "file:c3")
-    spans = x.evidence.where(files).select("id", "file_id", F.col("start_byte").alias("s"), F.col("end_byte").alias("e"))
-    return op.innermost(spans, x.nodes.where(files))
+    spans = x.evidence.select("id", "file_id", F.col("start_byte").alias("s"), F.col("end_byte").alias("e"))
+    return op.innermost(spans, x.nodes)
 
 
 @query("""SELECT conv_id, min(CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END)::INT AS requirement FROM (SELECT conv_id, role FROM conversations WHERE turn < 2 UNION ALL SELECT conv_id, role FROM conversations WHERE turn >= 2) GROUP BY conv_id""")

@@ -10,7 +10,7 @@ from quern.operators import snapshots as op
 from quern.plans.catalog import query
 from quern.plans.fixture import Fixture
 from quern.sources import files
-from quern.sources.classify import BASENAMES, EXTENSIONS, classify
+from quern.sources.classify import classify
 
 
 def _index(x: Fixture) -> DataFrame:
@@ -58,10 +58,10 @@ def snapshot_view(x: Fixture) -> DataFrame:
     return x.docs.where(F.col("language").isin("en") & F.col("path").startswith("en/src1/")).select("doc_id", F.substring("body", 11, 20).alias("part"), F.octet_length("body").cast("long").alias("size_bytes"))
 
 
-@query("SELECT doc_id, sha256(body) AS digest, len(string_split(body, chr(10)))::BIGINT AS line_count, sha256(encode(body)[1:4096]) AS first_block FROM docs")
+@query("SELECT doc_id, sha256(body) AS digest, len(string_split(body, chr(10)))::BIGINT AS line_count, array_to_string(list_transform(range(0, greatest(1, (strlen(body) + 4095) // 4096)), lambda i: sha256(encode(body)[i * 4096 + 1 : (i + 1) * 4096])), ',') AS blocks FROM docs")
 def line_index(x: Fixture) -> DataFrame:
     body = F.encode("body", "UTF-8")
-    return x.docs.select("doc_id", F.sha2("body", 256).alias("digest"), F.size(F.split("body", "\n", -1)).cast("long").alias("line_count"), F.element_at(op.blocks(body, 4096), 1).alias("first_block"))
+    return x.docs.select("doc_id", F.sha2("body", 256).alias("digest"), F.size(F.split("body", "\n", -1)).cast("long").alias("line_count"), F.array_join(op.blocks(body, 4096), ",").alias("blocks"))
 
 
 @query("""WITH f AS (SELECT language || '/' || name || '/' || doc_id AS path, language, name FROM docs),
@@ -72,21 +72,22 @@ def filesystem_nodes(x: Fixture) -> DataFrame:
     return nodes.join(contains.select(F.col("child").alias("path"), "parent"), "path", "left").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count("parent").alias("contained"))
 
 
-def _case(table: dict, field: int, key: str) -> str:
-    return "CASE " + key + "".join(f" WHEN '{k}' THEN '{v[field]}'" for k, v in table.items()) + " END"
+# Paths, and the format and kind that each must have.
+_PATHS = [
+    ("go.mod", "gomod", "file"), ("sub/Cargo.toml", "cargo", "file"), ("Dockerfile", "dockerfile", "build_target"), ("Dockerfile.dev", "dockerfile", "build_target"), ("x.dockerfile", "dockerfile", "build_target"),
+    ("dockerfile", "", "file"), ("src/a.py", "", "file"), ("a.tsx", "", "file"), ("api/openapi.v3.yaml", "openapi", "document"), ("myopenapi.yaml", "", "file"), ("swagger.json", "openapi", "document"),
+    ("compose.yaml", "compose", "configuration"), ("docker-compose.prod.yml", "compose", "configuration"), (".github/workflows/ci.yml", "github-actions", "configuration"), ("x/.github/workflows/ci.yml", "", "file"),
+    (".circleci/config.yml", "circleci", "configuration"), (".travis.yml", "travis", "configuration"), ("Jenkinsfile", "jenkins", "configuration"), ("k/kustomization.yaml", "kustomize", "configuration"), ("Chart.yaml", "helm", "configuration"),
+    ("build.gradle.kts", "gradle", "build_target"), ("BUILD.bazel", "bazel", "build_target"), ("rules.bzl", "bazel", "build_target"), ("CMakeLists.txt", "cmake", "build_target"), ("x.cmake", "cmake", "build_target"), ("GNUmakefile", "make", "build_target"),
+    ("README", "text", "document"), ("Readme.md", "markdown", "document"), ("docs/ADR/0001.md", "adr", "document"), ("docs/adrs/x/y.markdown", "adr", "document"), ("adr.md", "markdown", "document"), ("LICENSE-MIT", "text", "document"),
+    ("notes.txt", "text", "document"), ("m.proto", "protobuf", "document"), ("q.SQL", "sql", "document"), ("main.tf", "terraform", "configuration"), ("s.graphqls", "graphql", "document"), ("noext", "", "file"),
+]
 
 
-_NAMES = ["go.mod", "Dockerfile", "src.py", "a.tsx", "x_test.go", "openapi.json", "compose.yaml", "noext", "README.md"]
-
-
-@query(f"""WITH p AS (SELECT doc_id, path || '/' || ({_NAMES})[doc_id % {len(_NAMES)} + 1] AS path FROM docs), b AS (SELECT doc_id, lower(string_split(path, '/')[-1]) AS base FROM p),
-e AS (SELECT doc_id, base, CASE WHEN contains(base, '.') THEN string_split(base, '.')[-1] END AS ext FROM b)
-SELECT doc_id, coalesce({_case(BASENAMES, 0, 'base')}, CASE WHEN base = 'compose.yaml' THEN 'compose_file' WHEN base = 'openapi.json' THEN 'api_description' END, {_case(EXTENSIONS, 0, 'ext')}, 'unknown') AS format,
-coalesce({_case(BASENAMES, 1, 'base')}, CASE WHEN base IN ('compose.yaml', 'openapi.json') THEN 'configuration' WHEN base = 'x_test.go' THEN 'test' END, {_case(EXTENSIONS, 1, 'ext')}, 'file') AS kind FROM e""")
+@query(f"""SELECT doc_id, ({[f for _, f, _ in _PATHS]})[doc_id % {len(_PATHS)} + 1] AS format, ({[k for _, _, k in _PATHS]})[doc_id % {len(_PATHS)} + 1] AS kind FROM docs""")
 def path_classify(x: Fixture) -> DataFrame:
-    names = F.array(*map(F.lit, _NAMES))
-    path = F.concat("path", F.lit("/"), F.element_at(names, (F.col("doc_id") % len(_NAMES) + 1).cast("int")))
     form, kind = classify(F.col("p"))
+    path = F.element_at(F.array(*(F.lit(p) for p, _, _ in _PATHS)), (F.col("doc_id") % len(_PATHS) + 1).cast("int"))
     return x.docs.select("doc_id", path.alias("p")).select("doc_id", form.alias("format"), kind.alias("kind"))
 
 
@@ -99,13 +100,13 @@ def plan_reuse(x: Fixture) -> DataFrame:
     return op.reusable(planned, sealed).select("scope_key", "action")
 
 
-@query("SELECT relation_id, kind FROM relations WHERE kind = 'references' AND relation_id IN (SELECT relation_id FROM (SELECT relation_id FROM evidence WHERE unit_id = 'parts' AND id NOT IN (SELECT id FROM evidence WHERE unit_id = 'parts' AND precision_name = 'syntax') UNION ALL SELECT relation_id FROM evidence WHERE unit_id = 'parts' AND precision_name = 'syntax' AND end_byte > 30))")
+@query("SELECT relation_id, kind FROM relations SEMI JOIN (SELECT relation_id FROM evidence ANTI JOIN (SELECT id FROM evidence WHERE precision_name = 'syntax') USING (id) UNION ALL SELECT relation_id FROM evidence WHERE precision_name = 'syntax' AND end_byte > 30) USING (relation_id)")
 def carry_over(x: Fixture) -> DataFrame:
     """Old evidence of one precision is replaced by fresh evidence; relations without any left go."""
-    old = x.evidence.where("unit_id = 'parts'")
+    old = x.evidence
     stale = old.where("precision_name = 'syntax'").select("id")
     left = op.carry_over(old, stale, old.where("precision_name = 'syntax' AND end_byte > 30"), "id")
-    return op.supported(x.relations.where("kind = 'references'"), left).select("relation_id", "kind")
+    return op.supported(x.relations, left).select("relation_id", "kind")
 
 
 @query("""WITH c AS (SELECT unit_id AS scope_key, unit_id || '@2' AS u FROM generation_units WHERE generation_id = 2 AND NOT carried), p AS (SELECT unit_id AS scope_key, unit_id || '@1' AS u, 0 AS distance FROM generation_units WHERE generation_id = 1)
@@ -117,9 +118,9 @@ def stale_members(x: Fixture) -> DataFrame:
     return op.members_with_fallback(g.select(F.col("unit_id").alias("scope_key")).distinct(), current, previous)
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(substr(body, 1, 300), '\s+', ' ', 'g')) AS head, string_split(path, '/')[-1] AS last, string_split(path, '/')[1] || '/' || string_split(path, '/')[2] AS parent FROM docs")
+@query(r"SELECT doc_id, trim(regexp_replace(body, '\s+', ' ', 'g')) AS clean, string_split(path, '/')[-1] AS last, string_split(path, '/')[1] || '/' || string_split(path, '/')[2] AS parent FROM docs")
 def text_projection(x: Fixture) -> DataFrame:
-    return x.docs.select("doc_id", tx.collapse(F.substring("body", 1, 300)).alias("head"), tx.last_segment(F.col("path")).alias("last"), tx.parent_path(F.col("path")).alias("parent"))
+    return x.docs.select("doc_id", tx.collapse(F.col("body")).alias("clean"), tx.last_segment(F.col("path")).alias("last"), tx.parent_path(F.col("path")).alias("parent"))
 
 
 @query()

@@ -62,6 +62,36 @@ def test_store_publishes(spark, sf_dir, tmp_path):
     assert one.nodes.count() - two.nodes.count() == store.nodes.where("unit_id = 'suppliers'").count() > 0
 
 
+def test_a_broken_off_publish_and_a_way_back(spark, sf_dir, tmp_path):
+    store, units = Store(spark, str(tmp_path)), Fixture(spark, sf_dir).generation_units.where("generation_id = 2").drop("generation_id")
+    store.publish(units, 1, None)
+    store.publish(units.limit(2), 2, 1)
+    (tmp_path / "active" / "000000000003.lock").touch()  # a writer that died, or is still at it
+    with pytest.raises(Conflict):
+        store.publish(units, 1, 2)
+    store.recover()
+    store.publish(units, 1, 2)
+    assert store.active() == 1
+    assert store.generation_units.where("generation_id = 1").count() == units.count() and store.generation_units.where("generation_id = 2").count() == 2
+
+
+def test_search_is_pinned_and_goes_on(engine, spark, sf_dir):
+    """Generation 1 has no French documents; pages of a search give all its results once, best first."""
+    one = Engine(Fixture(spark, sf_dir), 1)
+    assert one.docs.where("unit_id = 'fr'").count() == 0 < engine.docs.where("unit_id = 'fr'").count()
+    assert one.search_page("src3", 200, paths=["fr"])[0].count() == 0
+    seen, cursor = [], None
+    while True:
+        rows, cursor = engine.search_page("src3", 7, cursor)
+        seen += [(r.tier, -r.score_micros, r.path, r.node_id) for r in rows.collect()]
+        if cursor is None:
+            break
+    assert seen == sorted(seen) and len({s[3] for s in seen}) == len(seen) > 7
+    assert len(seen) == engine.search("src3").count() or len(seen) > 200
+    with pytest.raises(ValueError):
+        engine.search_page("src3", 7, Engine(engine.store, 2).search_page("src3", 7)[1])
+
+
 def test_export(engine, spark, tmp_path):
     engine.export({"roots": engine.overview().where("depth = 0")}, str(tmp_path))
     assert spark.read.json(f"{tmp_path}/roots").count() == 5

@@ -117,3 +117,28 @@ def test_impact_excludes_seeds_and_keeps_incoming(spark):
     rel = frame(spark, [("1", "a", "calls", "s"), ("2", "s", "calls", "a"), ("3", "b", "calls", "a"), ("4", "a", "calls", "a")])
     got = {r.node_id: r for r in graph.impact(rel, spark.createDataFrame([("s",)], "node string"), ["calls"], 3).collect()}
     assert set(got) == {"a", "b"} and got["a"].incoming and got["a"].score_micros == 500_000 and got["b"].score_micros == 333_333
+
+
+def test_long_ways_and_bounds(spark):
+    """A bound that cuts a search short is told; without one, it goes on to the end."""
+    chain = spark.createDataFrame([(f"r{i}", f"n{i:03d}", "calls", f"n{i + 1:03d}") for i in range(7)], "relation_id string, from_node_id string, kind string, to_node_id string")
+    start = spark.createDataFrame([("n000",)], "node string")
+    assert graph.distances(chain, start, ["calls"]).agg({"dist": "max"}).first()[0] == 7
+    assert graph.distances(chain, start, ["calls"], max_hops=7).count() == 8
+    with pytest.raises(graph.Truncated):
+        graph.distances(chain, start, ["calls"], max_hops=6)
+    with pytest.raises(graph.Truncated):
+        graph.closure(chain.selectExpr("from_node_id AS a", "to_node_id AS b"), max_rounds=3)
+
+
+def test_routes_of_a_grid(spark):
+    """Of the many equal ways through a grid, the least are given without listing the others."""
+    n = 9
+    edges = [(f"{x}{y}{d}", f"{x}{y}", "calls", f"{x + (d == 'r')}{y + (d == 'd')}") for x in range(n) for y in range(n) for d in "dr" if x + (d == "r") < n and y + (d == "d") < n]
+    rows = spark.createDataFrame(edges, "relation_id string, from_node_id string, kind string, to_node_id string")
+    got = [r.route for r in graph.routes(rows, spark.createDataFrame([("00",)], "node string"), "44", ["calls"], 5).collect()]
+
+    def ways(x, y):
+        return [[]] if (x, y) == (4, 4) else [[f"{x}{y}d", *w] for w in (ways(x, y + 1) if y < 4 else [])] + [[f"{x}{y}r", *w] for w in (ways(x + 1, y) if x < 4 else [])]
+
+    assert got == sorted(ways(0, 0))[:5]

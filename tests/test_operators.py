@@ -268,7 +268,7 @@ def test_walk_and_tree(spark, tmp_path):
 
 
 def test_classify(spark):
-    paths = {"x/go.mod": ("go_module", "build_target"), ".github/workflows/a.yml": ("ci_workflow", "configuration"), "t/test_a.py": ("python", "test"), "b.unknown": ("unknown", "file"), "Makefile": ("make_file", "build_target")}
+    paths = {"x/go.mod": ("gomod", "file"), ".github/workflows/a.yml": ("github-actions", "configuration"), "t/test_a.py": ("", "file"), "b.unknown": ("", "file"), "Makefile": ("make", "build_target"), "docs/adr/1.md": ("adr", "document")}
     form, kind = classify.classify(F.col("p"))
     got = spark.createDataFrame([(p,) for p in paths], "p string").select("p", form.alias("f"), kind.alias("k")).collect()
     assert {r.p: (r.f, r.k) for r in got} == paths
