@@ -22,6 +22,8 @@ def scratch(spark: SparkSession) -> str:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = known.get() if known.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='quern-')}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
