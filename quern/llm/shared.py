@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +76,13 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def trim() -> None:
+    """Hands what this Python worker has freed back to the system: it stays for later stages, next to the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    if release := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        release(0)
+
+
 def chosen(hashed: Column, group: Column, counts: dict, sample: int) -> Column:
     """Whether a row's hash is so low that about ``sample`` rows, and a fifth more, of its group's count are chosen."""
     out = F.when(F.lit(False), F.lit(False))

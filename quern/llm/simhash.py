@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
-from quern.llm.shared import remove, small_batches, store, table
+from quern.llm.shared import plan_bytes, remove, scratch, settings, shuffle_partitions, small_batches, store, table, trim
 
 RADIUS = 3
 SHINGLE = 3
@@ -47,6 +47,7 @@ WIDE = 20
 BINS = 128
 LIKELY, SURE = 0.7, 0.84  # by sketches
 SIMILAR_CHUNK = 1 << 15
+PLACE_BITS = 15  # a bitmap of kept rows has 1 << 15 places, as bitmap_construct_agg makes them
 SENT = 1 << 20  # links whose ends are sent to every executor, 24 MB; more are joined by a shuffle
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -244,7 +245,7 @@ class _Joined:
         return np.array(used, np.int64)
 
 
-def likely_links(fp: np.ndarray, size: np.ndarray, sketch: np.ndarray, homes: int, at_home: bool, least: float = SIMILAR, radius: int = WIDE, rows: int = 256, columns: int = 1 << 13) -> tuple[np.ndarray, np.ndarray]:
+def likely_links(fp: np.ndarray, size: np.ndarray, sketch: np.ndarray, homes: int, at_home: bool, least: float = SIMILAR, radius: int = WIDE, rows: int = 256, columns: int = 1 << 11) -> tuple[np.ndarray, np.ndarray]:
     """Links (i, j) between the first ``homes`` places and the others, and among them if at_home, that are likely by sketches.
 
     Two forests: one of links that are all but sure, one of likely links as well. So a link that fails later on the texts
@@ -305,6 +306,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, least: float = SIMILAR, ra
         sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)[order]
         i, j = likely_links(col("fp").view(np.uint64), col("size"), sketch, int(home.sum()), group.column("slice")[0].as_py() == 0, least, radius)
         ids = col("id")
+        trim()
         return pa.table({"a": pa.array(ids[i], pa.int64()), "b": pa.array(ids[j], pa.int64())})
 
     width = float(-np.log(least))
@@ -324,14 +326,36 @@ def similar_links(nodes: DataFrame, texts: DataFrame, least: float = SIMILAR, ra
     return out
 
 
+def _place() -> Column:
+    return F.col("row").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+
+
+def _in_buckets(rows: DataFrame) -> tuple[DataFrame, int]:
+    """rows, which monotonically_increasing_id gave ``row``, stored with ``part`` in buckets by part, and how many of them.
+
+    Rows of one task have one or few parts, so a task writes each of its rows to the bucket of its part and none moves;
+    a join on part then takes the rows where they are. The table's name goes at once, its files stay.
+    """
+    spark = rows.sparkSession
+    path = scratch(spark)
+    name, buckets = f"quern_rows_{path[-32:]}", min(100_000, max(shuffle_partitions(spark), plan_bytes(rows) // (16 << 20)))
+    try:
+        with settings(spark, spark__sql__maxConcurrentOutputFileWriters="16"):  # up to so many parts are written without a sort
+            rows.withColumn("part", F.shiftright("row", PLACE_BITS)).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, "part").saveAsTable(name)
+        return spark.table(name), buckets
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILAR, radius: int = WIDE, shingle: int = SIMILAR_SHINGLE, chunk: int = SIMILAR_CHUNK, sent: int = SENT) -> DataFrame:
     """The rows of df without near-duplicates: of each class of similar texts, the row with the smallest id (null ids last) stays.
 
     Classes are those that links between texts of similarity ``least`` or more make; texts of the same words are alike.
+    Which rows stay comes back to the texts as one bit a row, in bitmaps of their part, so the texts aren't moved for it.
     """
     spark = df.sparkSession
     small_batches(spark)
-    rows, _ = store(df.select(F.monotonically_increasing_id().alias("row"), F.struct(F.lit(0).alias("__none"), *(F.col(f"`{c}`") for c in df.columns)).alias("of")))
+    rows, buckets = _in_buckets(df.select(F.monotonically_increasing_id().alias("row"), F.struct(F.lit(0).alias("__none"), *(F.col(f"`{c}`") for c in df.columns)).alias("of")))
     prints, at_prints = store(_signatures(rows.select("row", F.col(f"of.`{id_col}`").alias("id"), F.col(f"of.`{text}`").cast("string").alias("text")), shingle))
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
     nodes, at_nodes = store(prints.groupBy("digest").agg(best, F.any_value("fp").alias("fp"), F.any_value("size").alias("size"), F.any_value("sketch").alias("sketch")).select("first", F.col("first.row").alias("id"), "fp", "size", "sketch"))
@@ -341,4 +365,7 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text", least:
     stays, _ = store(nodes.join(found, "id", "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("row")))
     for path in (at_prints, at_nodes, at_links):
         remove(spark, path)
-    return rows.join(stays, "row", "left_semi").select(*(F.col(f"of.`{c}`") for c in df.columns))
+    bits = stays.select(F.shiftright("row", PLACE_BITS).alias("part"), _place().alias("place")).repartition(buckets, "part").groupBy("part").agg(F.bitmap_construct_agg("place").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright("place", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    kept = rows.withColumn("place", _place()).join(bits.hint("shuffle_hash"), "part").where(F.getbit(byte, F.col("place").bitwiseAND(F.lit(7))) == 1)
+    return kept.select(*(F.col(f"of.`{c}`") for c in df.columns))
