@@ -292,6 +292,7 @@ def _signatures(rows: DataFrame, shingle: int) -> DataFrame:
             made = [signature(t, shingle) for t in batch.column(2).to_pylist()]
             parts = [pa.array([m[k] for m in made], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *parts], names=["row", "id", "fp", "size", "sketch", "digest"])
+        trim()
 
     return rows.mapInArrow(run, f"row long, id {kind}, fp long, size long, sketch binary, digest binary")
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.bytescan import U64, Rolling, text_bytes
-from quern.llm.shared import materialize, plan_bytes, remove, scratch, settings, shuffle_partitions, store, table
+from quern.llm.shared import materialize, plan_bytes, remove, scratch, settings, shuffle_partitions, store, table, trim
 
 LENGTH = 200
 ORDER = 11  # of the field; v = ORDER**2 + ORDER + 1
@@ -320,6 +320,7 @@ def _each(batches: Iterator[pa.RecordBatch], cfg: dict) -> Iterator[tuple[pa.Rec
                 got = batch.column("answers")[i].values
                 answers = dict(zip(got.field("g").to_pylist(), got.field("bits").to_pylist()))
             yield batch, i, _Block(cfg, ends, data, answers)
+    trim()
 
 
 QUESTION = "g int, b int, block long, names binary"

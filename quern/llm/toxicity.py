@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.bytescan import gathered, text_bytes
-from quern.llm.shared import chosen, small_batches, table
+from quern.llm.shared import chosen, small_batches, table, trim
 
 WINDOW, STRIDE = 32, 16
 HIDDEN = 8
@@ -359,6 +359,7 @@ def score(df: DataFrame, net: Network | None, text: str = "text", keep_text: boo
                 got = sent.value.score(part.column(1)) if sent.value is not None else np.zeros(hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column(0), *([part.column(1)] if keep_text else []), pa.array(got, pa.float64())], names=schema.names)
                 lo = hi
+        trim()
 
     return rows.mapInArrow(run, schema).select(*(F.col("text").alias(c) if c == text else F.col(f"meta.`{c}`") for c in rest), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
