@@ -47,6 +47,7 @@ BLOCK_BYTES = 1 << 20
 NAMES = 1 << 20  # a reducer sorts at once, about
 ITEMS = 1 << 15  # cover positions with their surroundings; the same
 ROUNDS = 3
+PIECES = 8  # of a round, which a block handles one after the other
 HOT = 1 << 16  # blocks that hold a name
 HOT_SHIFTS = 8
 DIGEST = 16
@@ -168,35 +169,38 @@ class _Block:
         return at, h[keep], hot[inverse][keep], self.starts[text], self.ends[text]
 
     def items(self, copies: np.ndarray, turn: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each range of shifts: its number, the cover positions, distinct surroundings, their reducers, and those of each position."""
+        """For each range of shifts and each piece of the reducers: the range's number, the cover positions, distinct surroundings,
+        their reducers, and those of each position. A reducer is in one piece, so a block holds the surroundings of one piece only."""
         at, h, hot, starts, ends = self.sites(copies)
-        length, n, rounds = self.cfg["length"], self.cfg["reducers"], self.cfg["rounds"]
+        length, n, pieces = self.cfg["length"], self.cfg["reducers"], PIECES * self.cfg["rounds"]
         reach, rolling = 2 * length, _rolling()
         prefix = rolling.prefix(self.data) if hot.any() else None
         windows = np.lib.stride_tricks.sliding_window_view(np.pad(self.data, reach), reach)
         for kind, (lo, hi) in enumerate(self.cfg["ranges"]):
             least, most = np.maximum(lo, length - (ends - at)), np.minimum(hi - 1, at - starts)
-            some = np.flatnonzero((hot if kind else ~hot) & (least <= most))
-            if not len(some):
+            fit = np.flatnonzero((hot if kind else ~hot) & (least <= most))
+            if not len(fit):
                 continue
-            key = rolling.ranges(prefix, at[some] - lo, at[some] + length - hi + 1) if kind else h[some]
-            r = self.reducer(key, n)
-            if turn is not None:
-                now = (r >= U64(turn * n // rounds)) & (r < U64((turn + 1) * n // rounds))
-                some, r = some[now], r[now]
-            a, left, right = at[some], hi - 1, length - lo
-            width = 7 + left + right
-            rows = np.empty((len(a), width), np.uint8)
-            rows[:, :4] = r.astype(">u4").view(np.uint8).reshape(-1, 4)
-            rows[:, 4], rows[:, 5], rows[:, 6] = 0, least[some], most[some]
-            around = windows[a + reach - left, : left + right]
-            for rim, room, steps in ((np.flatnonzero(a - starts[some] < left), a - starts[some], left - 1 - np.arange(left + right)), (np.flatnonzero(ends[some] - a < right), ends[some] - a - 1, np.arange(left + right) - left)):
-                around[rim] *= steps <= room[rim][:, None]  # bytes of other texts
-            rows[:, 7 : 7 + left], rows[:, 7 + left :] = around[:, :left][:, ::-1], around[:, left:]
-            made, inverse, times = np.unique(rows.view(f"S{width}").ravel(), return_inverse=True, return_counts=True)
-            made = made.view(np.uint8).reshape(-1, width).copy()
-            made[:, 4] = times > 1
-            yield kind, a, made[:, 4:], made[:, :4].copy().view(">u4").ravel().astype(np.int64), inverse
+            key = rolling.ranges(prefix, at[fit] - lo, at[fit] + length - hi + 1) if kind else h[fit]
+            of = self.reducer(key, n)
+            for piece in range(pieces) if turn is None else range(turn * PIECES, (turn + 1) * PIECES):
+                now = (of >= U64(piece * n // pieces)) & (of < U64((piece + 1) * n // pieces))
+                if not now.any():
+                    continue
+                some, r = fit[now], of[now]
+                a, left, right = at[some], hi - 1, length - lo
+                width = 7 + left + right
+                rows = np.empty((len(a), width), np.uint8)
+                rows[:, :4] = r.astype(">u4").view(np.uint8).reshape(-1, 4)
+                rows[:, 4], rows[:, 5], rows[:, 6] = 0, least[some], most[some]
+                around = windows[a + reach - left, : left + right]
+                for rim, room, steps in ((np.flatnonzero(a - starts[some] < left), a - starts[some], left - 1 - np.arange(left + right)), (np.flatnonzero(ends[some] - a < right), ends[some] - a - 1, np.arange(left + right) - left)):
+                    around[rim] *= steps <= room[rim][:, None]  # bytes of other texts
+                rows[:, 7 : 7 + left], rows[:, 7 + left :] = around[:, :left][:, ::-1], around[:, left:]
+                made, inverse, times = np.unique(rows.view(f"S{width}").ravel(), return_inverse=True, return_counts=True)
+                made = made.view(np.uint8).reshape(-1, width).copy()
+                made[:, 4] = times > 1
+                yield kind, a, made[:, 4:], made[:, :4].copy().view(">u4").ravel().astype(np.int64), inverse
 
     def removed(self) -> np.ndarray:
         """For each byte, whether it goes."""
@@ -211,7 +215,9 @@ class _Block:
                 if got is not None:
                     packed = np.frombuffer(got, np.uint8).reshape(bounds[r + 1] - bounds[r], -1)
                     shifts[bounds[r] : bounds[r + 1]] = np.unpackbits(packed, axis=1, count=hi - lo).astype(bool)
-            starts[(a[:, None] - np.arange(lo, hi))[shifts[inverse]]] = True
+            for k in range(0, len(a), 1 << 12):
+                i, d = np.nonzero(shifts[inverse[k : k + (1 << 12)]])
+                starts[a[k + i] - lo - d] = True
         starts = np.flatnonzero(starts)
         mark[starts] += 1
         mark[starts + self.cfg["length"]] -= 1
