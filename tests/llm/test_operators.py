@@ -223,6 +223,42 @@ def test_forest_of_a_large_class():
     assert len(i) < 2 * 700 and len(set(joined.label.tolist())) == 1
 
 
+def test_similar_texts_with_fingerprints_far_apart(spark):
+    """A text and the same without its last word share four of five shingles, while many fingerprints differ in over 20 bits."""
+    rng = random.Random(5)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(9)] for _ in range(2000)]
+    texts += [t[:8] for t in texts]
+    prints = [simhash.signature(" ".join(t))[0] for t in texts]
+    assert sum(((x ^ y) & (1 << 64) - 1).bit_count() > simhash.WIDE for x, y in zip(prints, prints[2000:])) >= 5
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for settings in ({}, {"chunk": 400, "sent": 0}):
+        assert sorted(r.doc_id for r in simhash.keep_first(df, **settings).collect()) == list(range(2000))
+
+
+def test_other_links_against_all_pairs():
+    """No similar pair of different labels is left out, at any size and share, and none comes twice; few others come."""
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 5, 9, 31, 130, 1000, 5000, 9000):
+        sets = []
+        for _ in range(12 if n > 500 else 40):
+            base = rng.integers(0, 2**64, n, dtype=np.uint64)
+            sets.append(np.unique(base))
+            for change in (0, 0.05, 0.1, 0.11, 0.2, 0.23):
+                cut = base[int(rng.uniform(0, 1) * change * n) :]
+                sets.append(np.unique(np.concatenate([cut, rng.integers(0, 2**64, int(rng.uniform(0, 1) * change * n), dtype=np.uint64)])))
+        rng.shuffle(sets)
+        size, fp, label = np.array([len(x) for x in sets]), np.array([simhash._majority(x) for x in sets], np.uint64), rng.integers(0, 9, len(sets))
+        as_sets = [set(x.tolist()) for x in sets]
+        homes = len(sets) // 3
+        got = [(int(x), int(y)) for i, j, _ in simhash.other_links(fp, size, [simhash._parity(x) for x in sets], label, homes, True, columns=50) for x, y in zip(i, j)]
+        pairs = {(min(i, j), max(i, j)) for i, j in got}
+        assert len(pairs) == len(got) and all(i < homes and label[i] != label[j] for i, j in pairs)
+        shares = {(i, j): len(as_sets[i] & as_sets[j]) / len(as_sets[i] | as_sets[j]) for i in range(homes) for j in range(i + 1, len(sets)) if label[i] != label[j]}
+        alike = {p for p, share in shares.items() if share >= 0.8}
+        assert alike and alike <= pairs
+        assert sum(shares[p] <= 0.5 for p in pairs) <= 0.01 * len(shares)
+
+
 @pytest.mark.parametrize("chunk", [3, 1 << 15])
 def test_links_of_chains_and_chunked_tiles(spark, chunk):
     rng = np.random.default_rng(3)
